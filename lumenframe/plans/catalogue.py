@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lumenframe.plans import evaluation, media, signals, titles, vectors
+
+FAMILIES = (media, vectors, titles, evaluation, signals)
+QUERIES: dict = {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}
