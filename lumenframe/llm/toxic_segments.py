@@ -2,7 +2,7 @@
 
 Every word has a score from log-odds with an informative Dirichlet prior (Monroe, Colaresi and
 Quinn, 2008): how much likelier it is in toxic than in clean labelled documents, the prior being
-the counts of all documents. The word, its first four and its first five letters are counted in
+the counts of all documents (each counts a word once). The word, its first four and its first five letters are counted in
 hash buckets of a fixed number; a word scores the best lower bound of its three, or a small
 negative drift. A linear-time scan (Ruzzo and Tompa, 1999) finds all maximal scoring segments of
 a text. A segment's expected number by chance is K n exp(-lambda S) (Karlin and Altschul, 1990),
@@ -123,7 +123,7 @@ def bucket_counts(docs: DataFrame, sample: dict) -> np.ndarray:
         for batch in batches:
             counts = (Counter(), Counter(), Counter())
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = alnum_words(text)
+                words = set(alnum_words(text))  # once a document: one that repeats a word says no more for it
                 counts[0].update(words)
                 if (y := labelled.get(doc)) is not None:
                     counts[1 + y].update(words)
