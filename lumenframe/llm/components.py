@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm.words import counted_apart
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the folder of ``spark.checkpoint.dir``; only where none is set, as in tests, one under the warehouse."""
@@ -25,7 +27,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     if large:
         both = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("v0")).select("u", F.least("u", "v0").alias("m"))
+    low = counted_apart(both, ["u"], F.min("v").alias("v0")).select("u", F.least("u", "v0").alias("m"))
     joined = both.join(low, "u")
     if large:
         # Neighbours above u are tied to the smallest node around u.

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.words import id_and_text, quoted
+from lumenframe.llm.words import counted_apart, id_and_text, quoted
 
 WINDOW = 3
 #: A line with anything but the six ASCII spaces.
@@ -50,7 +50,7 @@ def removed_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     found = windows(docs, window)
     place = F.struct("doc_id", "t1", "at")
-    repeated = found.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    repeated = counted_apart(found, ["w1", "w2"], F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = repeated.filter("first < last").select("w1", "w2", "first")
     later = found.join(repeated, ["w1", "w2"]).filter(place > F.col("first"))
     covered = later.groupBy("doc_id", "t1").agg(F.collect_set("at").alias("starts"))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.components import components, ensure_checkpoint_dir
-from lumenframe.llm.words import id_and_text, quoted
+from lumenframe.llm.words import counted_apart, id_and_text, quoted
 
 SHINGLE = 4
 RADIUS = 4
@@ -193,7 +193,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile:
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in bucket_masks(blocks, radius)])
     dealt = fps.select("fp", F.posexplode(masks).alias("t", "mask"))
     dealt = dealt.select("fp", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = counted_apart(dealt, ["bucket"], F.count("*").alias("n")).filter("n > 1")
     # Joined as two: the many small buckets stay whole, large ones become pairs of tiles.
     sized = dealt.join(sizes, "bucket")
     small = sized.filter(F.col("n") <= 4 * tile).select(F.col("bucket").alias("g"), "fp", F.lit(WITHIN).alias("side"))

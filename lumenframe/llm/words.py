@@ -35,6 +35,18 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
 
 
+def counted_apart(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    """``df`` summed up by long keys, for a join back on them.
+
+    The keys are grouped in another form than the one they come back in. Else the join would take
+    over the aggregate's partitioning, and Spark splits a skewed join only where both of its sides
+    were dealt for it.
+    """
+    hidden = [F.bitwise_not(F.col(k)).alias(f"_{k}") for k in keys]
+    found = df.groupBy(*hidden).agg(*aggregates)
+    return found.select(*[F.bitwise_not(F.col(f"_{k}")).alias(k) for k in keys], *[quoted(c) for c in found.columns[len(keys) :]])
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
