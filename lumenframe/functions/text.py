@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenframe import lexicon
 
+# These patterns decide results.
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F000}-\x{1F2FF}\p{So}]"
 YEAR = r"(?U)(?<!\d)20[1-3]\d(?!\d)"
 COP = r"(?iU)\$\s?\d|cop\b|colombian?os?\b|\bpesos?\b|\bmillones?\b"

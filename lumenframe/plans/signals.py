@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions import boxes, sequences, vectors
+from lumenframe.functions import boxes, scores, sequences, vectors
 from lumenframe.operators import sampling, tensors
 from lumenframe.sources import tables
 from lumenframe.sources.tables import BOX
@@ -60,6 +60,15 @@ def box_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def box_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes from centre form to corners (N9), and their scores scaled to 0 to 1 over all."""
+    one = tables.boxes(spark, sf_dir).select("image_id", F.explode("boxes").alias("b")).select("image_id", "b.*")
+    ends = one.agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    scaled = scores.min_max(F.col("score"), F.col("low"), F.col("high"))
+    corners = boxes.corners(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
+    return one.crossJoin(F.broadcast(ends)).select("image_id", "box_id", corners.alias("c"), F.round(scaled, 6).alias("scaled")).select("image_id", "box_id", "c.*", "scaled")
+
+
 def tile_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = tables.table(spark, sf_dir, "part").select((F.col("p_partkey") * 7).cast("int").alias("length"))
     return lengths.select("length", F.array_join(boxes.tile_starts(F.col("length")).cast("array<string>"), ",").alias("starts"))
@@ -163,8 +172,8 @@ _LABELS = "lab AS (SELECT l_orderkey AS image_id, list(floor(l_quantity / 7)::IN
 QUERIES = {
     f.__name__: f
     for f in (
-        box_nms_area, box_nms_score, box_nms_class, box_first_come, box_unclip_rescale, box_ratios, tile_positions, ctc_greedy, repetition_penalty,
-        tta_geomean, array_softmax, busy_union, duty_cycle, chunk_5s, global_sigmoid, log_mel, image_pixel_stats,
+        box_nms_area, box_nms_score, box_nms_class, box_first_come, box_unclip_rescale, box_ratios, box_corners, tile_positions, ctc_greedy,
+        repetition_penalty, tta_geomean, array_softmax, busy_union, duty_cycle, chunk_5s, global_sigmoid, log_mel, image_pixel_stats,
     )
 }
 _TIES = "x, y, w, h, score, class_id, box_id"
@@ -179,6 +188,8 @@ ORACLE_SQL = {
       CASE WHEN r > l AND u > t THEN l END AS x, CASE WHEN r > l AND u > t THEN t END AS y, CASE WHEN r > l AND u > t THEN r - l END AS w, CASE WHEN r > l AND u > t THEN u - t END AS h FROM g""",
     "box_ratios": f"""WITH box AS ({_BOX}) SELECT image_id, count(*)::INT AS n, round(max(w * h) / 409600.0::DOUBLE, 5) AS largest, max(score) AS best,
       string_agg(box_id::VARCHAR, ',' ORDER BY y, x, w, h, score, class_id, box_id) AS reading_order FROM box GROUP BY image_id""",
+    "box_corners": f"""WITH box AS ({_BOX}) SELECT image_id, box_id, x - w / 2.0::DOUBLE AS x1, y - h / 2.0::DOUBLE AS y1, x + w / 2.0::DOUBLE AS x2, y + h / 2.0::DOUBLE AS y2,
+      round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS scaled FROM box""",
     "tile_positions": """SELECT p_partkey * 7 AS length, CASE WHEN p_partkey * 7 <= 512 THEN '0' ELSE array_to_string(list_distinct_sorted, ',') END AS starts FROM (
       SELECT p_partkey, list_sort(list_distinct(list_append(generate_series(0, greatest(p_partkey * 7 - 512, 0), 384), greatest(p_partkey * 7 - 512, 0)))) AS list_distinct_sorted FROM part)""",
     "ctc_greedy": f"""WITH {_LABELS}, u AS (SELECT image_id, unnest(labels) AS c, generate_subscripts(labels, 1) AS i FROM lab), p AS (SELECT *, lag(c) OVER (PARTITION BY image_id ORDER BY i) AS before FROM u)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe import lexicon
 from lumenframe.functions import text
 from lumenframe.operators import entities
-from lumenframe.sources import tables
+from lumenframe.sources import files, tables
 from lumenframe.sources.tables import TITLES_SQL
 
 BASIC = ("char_count", "word_count", "sentence_count", "avg_word_length", "digit_count", "has_digit", "uppercase_word_count", "uppercase_word_ratio", "has_question_mark", "starts_with_question", "exclamation_count", "has_emoji", "emoji_count", "pipe_section_count", "hashtag_count")
@@ -112,6 +112,23 @@ def fuzzy_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.extract(_misread(spark, sf_dir)).withColumn("brand_sources", F.array_sort(F.map_entries("brand_sources")))
 
 
+def title_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two words of each title."""
+    tokens = F.filter(F.split(text.entity_text(F.col("title")), " "), lambda t: t != "")
+    return tables.titles(spark, sf_dir).select("video_id", F.explode(text.token_ngrams(tokens, 2)).alias("bigram"))
+
+
+def path_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folder and stem of each page's address."""
+    return files.path_columns(tables.table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("/chan/img-"), F.col("page_id").cast("string"), F.lit(".jpg")).alias("path")))
+
+
+def frequency_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles corrected against the words of the benchmark."""
+    words = tables.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("term"))
+    return entities.frequency_corrected(_misread(spark, sf_dir), words.groupBy("term").agg(F.count("*").alias("n")))
+
+
 def repeat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", F.lit(" "), F.regexp_extract("text", r"^[^.]*\.", 0), F.lit(" More follows")).alias("t"))
     return rows.select("item_id", text.collapse_repeats(F.col("t")).alias("collapsed"))
@@ -144,7 +161,7 @@ QUERIES = {
     for f in (
         title_features_basic, title_features_lexical, title_features_currency, title_years, brand_model_counts, collab_flag, whitelist_semi_join,
         alias_canonicalize, forced_corrections, symspell_gate_native, delete_neighborhood_lookup, year_detection, year_expansion,
-        model_to_brand_inference, fuzzy_entities, repeat_collapse,
+        model_to_brand_inference, fuzzy_entities, repeat_collapse, title_bigrams, path_columns, frequency_corrected,
     )
 }
 ORACLE_SQL = {
@@ -185,5 +202,8 @@ ORACLE_SQL = {
       a AS (SELECT video_id, list_sort(list(DISTINCT year::VARCHAR)) AS y FROM sp JOIN e USING (span) GROUP BY video_id)
       SELECT x.video_id, array_to_string(years, ',') AS years, coalesce(array_to_string(list_filter(y, lambda q: NOT list_contains(years, q)), ','), '') AS ambiguous FROM x LEFT JOIN a USING (video_id)""",
     "year_expansion": f"WITH {_MIS}, {_READ}, spans AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[0-9a-z]{{4}}')) AS span FROM m) {_EXPAND}",
+    "title_bigrams": f"""WITH n AS (SELECT video_id, list_filter(string_split({_NORM.replace('text', 'title')}, ' '), lambda x: x <> '') AS w FROM ({TITLES_SQL})),
+      g AS (SELECT video_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM n) SELECT video_id, w[i] || ' ' || w[i + 1] AS bigram FROM g""",
+    "path_columns": """SELECT page_id, url || '/chan/img-' || page_id || '.jpg' AS path, 'chan' AS channel, 'img-' || page_id AS video_id FROM pages""",
     "model_to_brand_inference": f"SELECT model, {_map(lexicon.MODEL_BRAND)}[model] AS brand FROM (SELECT unnest({list(lexicon.MODELS)}) AS model)",
 }
