@@ -17,6 +17,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,7 +54,7 @@ def _shape(word: bytes) -> bytes:
 
 def _level(share: float) -> int:
     """Coarse steps of a share of 0 to 1 and beyond."""
-    return int(np.searchsorted([1e-9, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9, 1.5], share))
+    return bisect_left((1e-9, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9, 1.5), share)
 
 
 def level_terms(measures: tuple[int, ...]) -> list[int]:
@@ -67,26 +68,24 @@ def level_terms(measures: tuple[int, ...]) -> list[int]:
     return [32 * i + level for i, level in enumerate(levels)]
 
 
-class Terms:
-    """Term counts of whole texts."""
+class Terms(dict):
+    """Term counts of whole texts; as a dictionary, the two terms of each word met, in one number."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, tuple[int, int]] = {}
-
-    def _pair(self, word: bytes) -> tuple[int, int]:
-        if len(self.known) >= MOST_WORDS:
-            self.known.clear()
-        pair = (xxhash.xxh3_64_intdigest(word.lower()) % WORD_TERMS, WORD_TERMS + xxhash.xxh3_64_intdigest(_shape(word)) % SHAPE_TERMS)
-        self.known[word] = pair
-        return pair
+    def __missing__(self, word: bytes) -> int:
+        digest = xxhash.xxh3_64_intdigest
+        self[word] = both = digest(word.lower()) % WORD_TERMS * SHAPE_TERMS + digest(_shape(word)) % SHAPE_TERMS
+        return both
 
     def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Sorted terms of a text and their counts."""
+        if len(self) >= MOST_WORDS:
+            self.clear()
         words = space_words(text)
-        known, pair = self.known.get, self._pair
-        pairs = np.array([known(w) or pair(w) for w in words], np.int64).reshape(-1)
-        counts = np.bincount(pairs, minlength=TERMS)
-        counts[[WORD_TERMS + SHAPE_TERMS + t for t in level_terms(quality_rules.measure(text))]] = 1
+        both = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        counts = np.zeros(TERMS, np.int64)
+        counts[:WORD_TERMS] = np.bincount(both // SHAPE_TERMS, minlength=WORD_TERMS)
+        counts[WORD_TERMS : WORD_TERMS + SHAPE_TERMS] = np.bincount(both % SHAPE_TERMS, minlength=SHAPE_TERMS)
+        counts[[WORD_TERMS + SHAPE_TERMS + t for t in level_terms(quality_rules.measure(text, words))]] = 1
         terms = np.flatnonzero(counts)
         return terms, counts[terms]
 
@@ -166,14 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, rank: in
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, y int, terms array<long>, counts array<long>"
-    rows = docs.join(sample, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text").mapInArrow(run, schema).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    model = Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.array([r["y"] for r in rows], float), neighbours)
-    if rows:
-        counted = [(np.array(r["terms"]), np.array(r["counts"])) for r in rows]
+    rows = docs.join(sample, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text").mapInArrow(run, schema).toArrow().sort_by("doc_id")
+    model = Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), rows["y"].to_numpy().astype(float), neighbours)
+    if rows.num_rows:
+        counted = [tuple(np.array(column[i].values) for column in (rows["terms"], rows["counts"])) for i in range(rows.num_rows)]
         x = model.rows(counted)
         values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
-        top = np.argsort(-values)[: min(rank, len(rows))]
+        top = np.argsort(-values)[:rank]
         top = top[values[top] > 1e-9]
         model.axes = ((x.T @ vectors[:, top]) / np.sqrt(values[top])).astype(np.float32)
         model.vectors = model.latent(counted)
