@@ -14,7 +14,7 @@ kept suffixes at equal places in all its copies.
 3. The cells that stand alone or for a class are extended window by window, and the windows
    compared: that finds the ends of passages, where copies go on differently.
 
-Each comparison is a count by hash (128 bits in all) that combines before the shuffle, and a join
+Each comparison is a count by hash (96 bits or more in all) that combines before the shuffle, and a join
 against one row per hash, which Spark may split where one passage is very common. No group is
 held in one task, and pairs are never listed. Covered windows are merged per document.
 
@@ -37,8 +37,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumenframe.llm.words import id_and_text, space_words
+from lumenframe.llm.words import counted_apart, id_and_text, space_words
 
 MIN_WORDS = 50
 GRAM = 16
@@ -103,7 +104,7 @@ def cells(hashes: np.ndarray, min_words: int, gram: int) -> tuple[np.ndarray, ..
 
 
 def _kept_suffixes(rows: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """(doc_id, t1, n_words, g, c, first, last) of each kept suffix of (doc_id, t1, text)."""
+    """(doc_id, g, c, rest: t1, n_words, first, last) of each kept suffix of (doc_id, t1, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,14 +116,16 @@ def _kept_suffixes(rows: DataFrame, min_words: int, gram: int) -> DataFrame:
                 sizes.append(len(found[-1][0]))
             of = np.repeat(np.arange(len(sizes)), sizes)
             columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(4)]
-            arrays = [
-                batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(np.array(counts, np.int32)[of]),
-                *(pa.array(c.astype(np.uint64).view(np.int64)) for c in columns[:2]), *(pa.array(c.astype(np.int32)) for c in columns[2:]),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "t1", "n_words", "g", "c", "first", "last"])
+            g, c = (pa.array(x.astype(np.uint64).view(np.int64)) for x in columns[:2])
+            first, last = (pa.array(x.astype(np.int32)) for x in columns[2:])
+            rest = [batch.column(1).take(pa.array(of)), pa.array(np.array(counts, np.int32)[of]), first, last]
+            rest = pa.StructArray.from_arrays(rest, names=["t1", "n_words", "first", "last"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), g, c, rest], names=["doc_id", "g", "c", "rest"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, t1 long, n_words int, g long, c long, first int, last int")
+    # Hashes that cannot be null get no null filters, which would make equal exchanges differ.
+    fields = [T.StructField(name, T.LongType(), False) for name in ("g", "c")]
+    rest = T.StructType([T.StructField(name, T.IntegerType()) for name in ("t1", "n_words", "first", "last")])
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields, T.StructField("rest", rest)]))
 
 
 def _windows(rows: DataFrame, min_words: int) -> DataFrame:
@@ -149,13 +152,13 @@ def _windows(rows: DataFrame, min_words: int) -> DataFrame:
             of = np.repeat(np.arange(len(sizes)), sizes)
             w1, w2, at, again = (np.concatenate(x) for x in out)
             arrays = [
-                pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)),
+                pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(32)).astype(np.int64)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)),
                 pa.array(np.array(counts, np.int32)[of]), pa.array(at.astype(np.int32)), pa.array(again),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["w1", "w2", "doc_id", "t1", "n_words", "at", "again"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"w1 long, w2 long, doc_id {kind}, t1 long, n_words int, at int, again boolean")
+    return rows.mapInArrow(run, f"w1 long, w2 long, doc_id {kind}, t1 int, n_words int, at int, again boolean")
 
 
 def _merged(spans: pd.Series) -> pd.Series:
@@ -179,14 +182,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     occurrences, and the documents that hold the first occurrences."""
     if not 0 < gram <= min_words:
         raise ValueError("a gram has 1 to min_words words")
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("t1"), "text")
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.hash("text").alias("t1"), "text")
     kept = _kept_suffixes(rows, min_words, gram)
     # 1: neighbours in the order of the first words.
-    shared = kept.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    alike = kept.join(shared, "g")
+    shared = counted_apart(kept, ["g"], F.count("*").alias("n")).filter("n > 1").select("g")
+    alike = kept.join(shared, "g").withColumn("k", F.xxhash64("g", "c"))
     # 2: classes of equal cells.
-    classes = alike.groupBy("g", "c").agg(F.count("*").alias("n"), F.min("doc_id").alias("lowest"))
-    placed = alike.join(classes, ["g", "c"])
+    # Counting ``rest`` makes both readers of ``alike`` want all its columns, so Spark deals it out once.
+    classes = counted_apart(alike, ["k", "c"], F.count("rest").alias("n"), F.min("doc_id").alias("lowest"))
+    placed = alike.join(classes, ["k", "c"]).select("doc_id", "n", "lowest", "rest.*")
     later = F.coalesce(F.col("doc_id") != F.col("lowest"), F.col("lowest").isNotNull())
     placed = placed.withColumn("later", later).withColumn("span", F.struct(F.col("first").alias("start"), (F.col("last") + min_words).alias("end")))
     placed = placed.groupBy("doc_id", "t1", "n_words").agg(
@@ -199,7 +203,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     o = open_.select(F.col("doc_id").alias("o_id"), F.col("t1").alias("o_t1"), "ranges")
     texts = rows.join(o, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("t1") == F.col("o_t1")))
     windows = _windows(texts.select("doc_id", "t1", "text", "ranges"), min_words)
-    counts = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("doc_id").alias("lowest")).filter("n > 1")
+    counts = counted_apart(windows, ["w1", "w2"], F.count("*").alias("n"), F.min("doc_id").alias("lowest")).filter("n > 1")
     found = windows.join(counts.drop("n"), ["w1", "w2"]).select(
         "doc_id", "t1", "n_words",
         F.struct(F.col("at").alias("start"), (F.col("at") + min_words).alias("end")).alias("span"),
