@@ -35,7 +35,7 @@ from tokenizers import pre_tokenizers
 from lumenframe.llm.words import id_and_text
 
 #: Words kept with their ids, at which a task starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 300_000
 #: Verdicts on token pairs that are kept.
 MOST_PAIRS = 1 << 20
 
@@ -365,7 +365,7 @@ def _encoder(path: str) -> Encoder:
 
 
 #: Texts encoded at once; their words and ids are held together.
-TEXTS = 2048
+TEXTS = 512
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
