@@ -219,7 +219,7 @@ def _grouped(docs: DataFrame, radius: int, shingle: int, blocks: int | None) ->
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     roots = components(links(distinct.select("fp"), radius, blocks))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    lowest = counted_apart(rooted, ["root"], F.min("least").alias("component_id"))
     return marked, rooted.join(lowest, "root").select("fp", "root", "component_id")
 
 
