@@ -13,6 +13,7 @@ kept suffixes at equal places in all its copies.
    Equal cells are repeated as a whole; one of each class, of the smallest doc_id, stands for it.
 3. The cells that stand alone or for a class are extended window by window, and the windows
    compared: that finds the ends of passages, where copies go on differently.
+4. What the windows of a class's cell are first found in goes back to the class's other members.
 
 Each comparison is a count by hash (96 bits or more in all) that combines before the shuffle, and a join
 against one row per hash, which Spark may split where one passage is very common. No group is
@@ -28,6 +29,7 @@ sake; equal texts, repeated rows too, are repeated in whole; an empty table give
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -176,6 +178,31 @@ def _merged(spans: pd.Series) -> pd.Series:
     return spans.map(merge)
 
 
+def _carried(min_words: int, kind: str):
+    """(c, own, ids) of each cell with windows that another document holds first: those documents,
+    and whether the cell has other windows too."""
+
+    def one(others, cells) -> list[dict]:
+        if cells is None:
+            return []
+        found = sorted({(o["at"], o["from"]) for o in others})
+        at = [a for a, _ in found]
+        out = []
+        for r in cells:
+            last = r["end"] - min_words
+            i, j = bisect_left(at, r["start"]), bisect_right(at, last)
+            if i < j:
+                out.append({"c": r["c"], "own": j - i <= last - r["start"], "ids": sorted({f for _, f in found[i:j]})})
+        return out
+
+    def carry(others: pd.Series, cells: pd.Series) -> pd.Series:
+        return pd.Series([one(o, c) for o, c in zip(others, cells)], dtype=object)
+
+    # Set here, as names of types in postponed annotations are not looked up in this scope.
+    carry.__annotations__ = {"others": pd.Series, "cells": pd.Series, "return": pd.Series}
+    return F.pandas_udf(carry, f"array<struct<c:bigint,own:boolean,ids:array<{kind}>>>")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """One row for each document with a repeated passage: (doc_id, n_words, n_repeated, n_removed,
     spans, removed, first_ids): its spans of repeated words, those of them that go as later
@@ -190,11 +217,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # 2: classes of equal cells.
     # Counting ``rest`` makes both readers of ``alike`` want all its columns, so Spark deals it out once.
     classes = counted_apart(alike, ["k", "c"], F.count("rest").alias("n"), F.min("doc_id").alias("lowest"))
-    placed = alike.join(classes, ["k", "c"]).select("doc_id", "n", "lowest", "rest.*")
+    placed = alike.join(classes, ["k", "c"]).select("doc_id", "n", "lowest", "c", "rest.*")
     later = F.coalesce(F.col("doc_id") != F.col("lowest"), F.col("lowest").isNotNull())
     placed = placed.withColumn("later", later).withColumn("span", F.struct(F.col("first").alias("start"), (F.col("last") + min_words).alias("end")))
     placed = placed.groupBy("doc_id", "t1", "n_words").agg(
-        F.collect_list(F.when(F.col("n") > 1, F.struct("span", "later", F.col("lowest").alias("from")))).alias("whole"),
+        F.collect_list(F.when(F.col("n") > 1, F.struct("span", "later", "lowest", "c"))).alias("whole"),
         F.collect_set(F.when((F.col("n") == 1) | ~F.col("later"), F.struct("first", "last"))).alias("ranges"),
     )
     placed = placed.checkpoint()
@@ -209,13 +236,33 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.struct(F.col("at").alias("start"), (F.col("at") + min_words).alias("end")).alias("span"),
         (later | F.col("again")).alias("later"), F.col("lowest").alias("from"),
     )
-    cells_found = placed.select("doc_id", "t1", "n_words", F.inline("whole"))
-    both = found.union(cells_found).groupBy("doc_id", "t1", "n_words").agg(
-        F.collect_list("span").alias("spans"), F.collect_list(F.when(F.col("later"), F.col("span"))).alias("removed"),
-        F.array_sort(F.collect_set("from")).alias("first_ids"),
+    other = ~F.col("from").eqNullSafe(F.col("doc_id"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    cells_found = placed.select("doc_id", "t1", "n_words", F.inline("whole")).select("doc_id", "t1", "n_words", "span", "later", nothing(kind), "c")
+    both = found.withColumn("c", nothing("long")).union(cells_found).groupBy("doc_id", "t1", "n_words").agg(
+        F.collect_list("span").alias("spans"), F.collect_list(F.when(F.col("later"), F.col("span"))).alias("removed"), F.collect_set("from").alias("ids"),
+        F.collect_list(F.when(F.col("c").isNull() & other, F.struct(F.col("span.start").alias("at"), "from"))).alias("others"),
+        F.collect_list(F.when(F.col("c").isNotNull() & ~F.col("later"), F.struct("span.start", "span.end", "c"))).alias("cells"),
     )
     merge = F.pandas_udf(_merged, "array<struct<start:int,end:int>>")
-    merged = both.select("doc_id", "t1", "n_words", merge("spans").alias("spans"), merge("removed").alias("removed"), "first_ids")
+    carried = _carried(min_words, kind)("others", F.when(F.size("others") > 0, F.col("cells")))
+    both = both.select("doc_id", "t1", "n_words", merge("spans").alias("spans"), merge("removed").alias("removed"), "ids", F.size("cells").alias("n_cells"), carried.alias("carried"))
+    # Windows that only the class's copies hold were opened once, so they are not among the found: they are first in the document itself.
+    own = F.col("doc_id").isNotNull() & (F.col("n_cells") > F.size(F.filter("carried", lambda x: ~x["own"])))
+    both = both.withColumn("ids", F.when(own, F.array_append("ids", F.col("doc_id"))).otherwise(F.col("ids"))).drop("n_cells").checkpoint()
+    # 4: a class is known by its document of the smallest id and the cell's hash; classes of no row here are first found in that document alone.
+    ids = F.when(F.col("own"), F.array_append("ids", F.col("doc_id"))).otherwise(F.col("ids"))
+    carried = both.select("doc_id", F.inline("carried")).select(F.xxhash64("doc_id").alias("l"), "c", ids.alias("class_ids"))
+    carried = counted_apart(carried, ["l", "c"], F.first("class_ids").alias("class_ids"))
+    members = placed.select("doc_id", "t1", "n_words", F.inline(F.filter("whole", lambda x: x["later"]))).withColumn("l", F.xxhash64("lowest"))
+    members = members.join(carried, ["l", "c"], "left").select(
+        "doc_id", "t1", "n_words", nothing(both.schema["spans"].dataType).alias("spans"), nothing(both.schema["removed"].dataType).alias("removed"),
+        F.coalesce("class_ids", F.array("lowest")).alias("ids"),
+    )
+    merged = both.drop("carried").union(members).groupBy("doc_id", "t1", "n_words").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("spans", "removed")], F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("first_ids")
+    )
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     return merged.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), total("spans").alias("n_repeated"), total("removed").alias("n_removed"), "spans", "removed", "first_ids",
