@@ -79,13 +79,21 @@ def symspell_gate_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delete_neighborhood_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words against a frequency list made of the documents' words of up to eight letters."""
+    """Words against a frequency list made of the benchmark's words of three to eight letters, as its SQL has it."""
     tokens = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))
     freq = tables.table(spark, sf_dir, "benchmark").select(tokens.alias("term")).filter("length(term) BETWEEN 3 AND 8").groupBy("term").agg(F.count("*").alias("n"))
     words = tables.table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all(F.lower("url"), F.lit("[a-z]+"), 0)).alias("token")).union(freq.select(F.expr("substr(term, 2)").alias("token"))).filter("token <> ''")
     return entities.nearest_terms(words, freq)
 
 
+def delete_neighborhood_lookup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words against a frequency list made of all the documents' words."""
+    words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0))
+    freq = tables.table(spark, sf_dir, "documents").select(words("text").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    tokens = tables.table(spark, sf_dir, "pages").select(words("url").alias("token")).union(freq.select(F.expr("substr(term, 2)").alias("token"))).filter("token <> ''")
+    return entities.nearest_terms(tokens, freq)
+
+
 def _misread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles with digits misread as letters."""
     return tables.titles(spark, sf_dir).withColumn("text", F.when(F.col("video_id") % 2 == 0, F.translate("title", "01", "oi")).otherwise(F.translate("title", "4", "v")))
@@ -160,7 +168,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         title_features_basic, title_features_lexical, title_features_currency, title_years, brand_model_counts, collab_flag, whitelist_semi_join,
-        alias_canonicalize, forced_corrections, symspell_gate_native, delete_neighborhood_lookup, year_detection, year_expansion,
+        alias_canonicalize, forced_corrections, symspell_gate_native, delete_neighborhood_lookup, delete_neighborhood_lookup_whole, year_detection, year_expansion,
         model_to_brand_inference, fuzzy_entities, repeat_collapse, title_bigrams, path_columns, frequency_corrected,
     )
 }
