@@ -58,6 +58,12 @@ def calibration_pairwise_spearman(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("n_pairs", F.round("rho", 6).alias("rho"), scores.agreement_verdict(F.col("rho")).alias("verdict"))
 
 
+def calibration_pairwise_spearman_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all rows, pairs between channels too."""
+    found = similarity.pairwise_spearman(tables.embeddings(spark, sf_dir), tables.quantised(spark, sf_dir))
+    return found.select("n_pairs", F.round("rho", 6).alias("rho"), scores.agreement_verdict(F.col("rho")).alias("verdict"))
+
+
 def ordering_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether both models order the peers alike."""
     orders = []
@@ -86,7 +92,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         embedding_normalize, channel_centroids, channel_cohesion, channel_cross_similarity, nearest_peer_ranking, topk_peer_neighbors, visual_outliers,
-        calibration_agreement, calibration_pairwise_spearman, ordering_match, zero_shot_softmax,
+        calibration_agreement, calibration_pairwise_spearman, calibration_pairwise_spearman_whole, ordering_match, zero_shot_softmax,
     )
 }
 ORACLE_SQL = {
@@ -110,3 +116,4 @@ ORACLE_SQL = {
       e AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY image_id)) / 0.01::DOUBLE) AS e FROM p)
       SELECT image_id, label, round(sim, 6) AS sim, round(e / sum(e) OVER (PARTITION BY image_id), 5) AS prob, row_number() OVER (PARTITION BY image_id ORDER BY sim DESC, label) AS rank FROM e""",
 }
+ORACLE_SQL["calibration_pairwise_spearman_whole"] = ORACLE_SQL["calibration_pairwise_spearman"].replace(" USING (channel, video_id) WHERE channel = 0)", " USING (channel, video_id))")
