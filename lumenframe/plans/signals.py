@@ -139,7 +139,11 @@ def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_pixel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixel features of images drawn from the embeddings."""
-    names = ("mean_hue", "mean_sat", "mean_value", "contrast_std", "edge_density", "unique_color_ratio", "warm_color_ratio", "high_edge_rows_ratio")
+    names = (
+        "aspect_ratio", "megapixels", "mean_hue", "mean_sat", "mean_value", "std_hue", "std_sat", "std_value", "saturation_high_ratio", "brightness_mean", "dark_pixel_ratio",
+        "bright_pixel_ratio", "warm_color_ratio", "cool_color_ratio", "unique_color_ratio", "contrast_std", "edge_density", "edge_density_top_third", "edge_density_bottom_third",
+        "high_edge_rows_ratio",
+    )
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
