@@ -5,23 +5,20 @@ Nodes are longs and may be of any number; nothing but one count and one checksum
 reaches the driver. Smallest neighbours come from aggregates that combine before the shuffle,
 and the joins that follow have one row per node on the right, so Spark may split a hot node.
 Each round is cut off by ``checkpoint``.
+
+Defined results: an edge with a null end says nothing and is left out, as is one from a node to itself; repeated
+edges are one; an empty table has no nodes; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.lineage import ensure_checkpoint_dir
 from lumenframe.llm.words import counted_apart
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder of ``spark.checkpoint.dir``; only where none is set, as in tests, one under the warehouse."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-
-
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round over edges (a, b), read both ways for a large star, from the larger end for a small one."""
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -41,7 +38,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge (a, b)."""
     ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.select("a", "b").filter("a <> b").distinct().checkpoint()
+    edges = edges.select("a", "b").filter("a <> b").distinct().checkpoint()  # the filter leaves null ends out too
     state = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -5,42 +5,49 @@ is repeated where the same words stand elsewhere, in another document or further
 
 Suffixes are kept only at minimisers: of each window of ``min_words`` words, the leftmost of its
 smallest ``gram``-word hashes. Equal windows choose the same place, so a repeated passage has
-kept suffixes at equal places in all its copies.
-
-1. The kept suffixes are sorted by their first ``gram`` words (the hash that chose them) and
-   neighbours compared: a suffix whose first words stand nowhere else is dropped.
-2. Each remaining suffix is extended left and right over its cell, the windows that chose it.
-   Equal cells are repeated as a whole; one of each class, of the smallest doc_id, stands for it.
-3. The cells that stand alone or for a class are extended window by window, and the windows
-   compared: that finds the ends of passages, where copies go on differently.
-4. What the windows of a class's cell are first found in goes back to the class's other members.
-
-Each comparison is a count by hash (96 bits or more in all) that combines before the shuffle, and a join
-against one row per hash, which Spark may split where one passage is very common. No group is
-held in one task, and pairs are never listed. Covered windows are merged per document.
+kept suffixes at equal places in all its copies. The windows that choose a suffix, with their
+words left and right of it, are its cell.
+
+1. Kept suffixes (one pass over the texts, written as a table). One whose first ``gram`` words
+   stand nowhere else is dropped. Of equal cells, one of the smallest document stands for all.
+2. Cells that share their first words but are not all equal make the sparse suffix array: they
+   are sorted by the words that follow, range by range, and each is compared with its neighbours.
+   No other suffix agrees with one for longer to the right than its neighbours do, so a window
+   that needs more words than that is its own cell's alone.
+3. The windows that are left are extended to the left and to the right of the suffix, word for word
+   (hash of all their words), and matched. That finds the ends of passages, where copies go on
+   differently. Neighbours alone do not decide it: the suffix that agrees longest to the right may
+   agree less to the left than one further off.
+4. Each cell's repeated windows go back to all its copies as bit masks, one for each document that
+   holds them first, and are merged into spans per document.
+
+Comparisons that may meet a very common passage are counts by hash (128 bits) that combine before the
+shuffle, and joins against one row per hash, which Spark may split. The sort is by range, with ties cut apart.
+No group is held in one task, and pairs are never listed.
 
 The first occurrence, in the order of doc_id and then position, stays; words that later ones
 cover are marked for removal.
 
-Defined results: texts of fewer words, empty and null texts have no passage; null ids sort last;
+Defined results: texts of fewer words, empty and null texts have no passage; very long texts are hashed and
+cut into cells whole, in one task; null ids sort last;
 rows that share a doc_id count as one place for the order, so none of them goes for another's
 sake; equal texts, repeated rows too, are repeated in whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from lumenframe.lineage import Scratch
 from lumenframe.llm.words import counted_apart, id_and_text, space_words
 
 MIN_WORDS = 50
@@ -90,180 +97,248 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def cells(hashes: np.ndarray, min_words: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, cell hash, first window, last window) of each kept suffix."""
+    """(gram hash, cell hash, place, first window, last window) of each kept suffix."""
     n = len(hashes)
     if n < min_words:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     roll = Rolling(hashes, 0)
     starts = np.arange(n - gram + 1)
     grams = roll.run(starts, starts + gram)
     chosen = leftmost_minima(grams, min_words - gram + 1)
     first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
     last = np.concatenate((first[1:], [len(chosen)])) - 1
+    at = chosen[first]
     # The place of the gram in the cell is part of what a cell is.
-    whole = Rolling(hashes, 1).run(first, last + min_words) ^ (chosen[first] - first).astype(np.uint64) * np.uint64(_FACTORS[0])
-    return grams[chosen[first]], whole, first, last
+    whole = Rolling(hashes, 1).run(first, last + min_words) ^ (at - first).astype(np.uint64) * np.uint64(_FACTORS[0])
+    return grams[at], whole, at, first, last
+
+
+def seen_before(hashes: np.ndarray, grams: np.ndarray, first: np.ndarray, last: np.ndarray, min_words: int) -> np.ndarray:
+    """For each cell, bits of its windows that stood earlier in the same text."""
+    out = np.zeros(len(first), np.int64)
+    # Equal windows have equal grams, so only cells whose gram comes again need a look.
+    order = np.argsort(grams, kind="stable")
+    same = grams[order][1:] == grams[order][:-1]
+    twice = np.zeros(len(grams), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    if not (mine := np.flatnonzero(twice)).size:
+        return out
+    sizes = last[mine] - first[mine] + 1
+    of = np.repeat(mine, sizes)
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[of]
+    w1, w2 = (Rolling(hashes, k).run(at, at + min_words) for k in (0, 1))
+    order = np.lexsort((at, w2, w1))
+    again = order[1:][(w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])]
+    np.bitwise_or.at(out, of[again], np.int64(1) << (at[again] - first[of[again]]))
+    return out
+
+
+CELL = T.StructType([T.StructField(n, t, False) for n, t in (
+    ("g", T.LongType()), ("c", T.LongType()), ("t1", T.IntegerType()), ("n_words", T.IntegerType()), ("at", T.IntegerType()),
+    ("first", T.IntegerType()), ("size", T.IntegerType()), ("again", T.LongType()),
+)])
 
 
 def _kept_suffixes(rows: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """(doc_id, g, c, rest: t1, n_words, first, last) of each kept suffix of (doc_id, t1, text)."""
+    """doc_id and CELL of each kept suffix of (doc_id, t1, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, counts, sizes = [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = word_hashes(text)
-                found.append(cells(hashes, min_words, gram))
+                g, c, at, first, last = cells(hashes, min_words, gram)
+                found.append((g.view(np.int64), c.view(np.int64), at, first, last - first + 1, seen_before(hashes, g, first, last, min_words)))
                 counts.append(len(hashes))
-                sizes.append(len(found[-1][0]))
+                sizes.append(len(g))
+            if not found:
+                continue
             of = np.repeat(np.arange(len(sizes)), sizes)
-            columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(4)]
-            g, c = (pa.array(x.astype(np.uint64).view(np.int64)) for x in columns[:2])
-            first, last = (pa.array(x.astype(np.int32)) for x in columns[2:])
-            rest = [batch.column(1).take(pa.array(of)), pa.array(np.array(counts, np.int32)[of]), first, last]
-            rest = pa.StructArray.from_arrays(rest, names=["t1", "n_words", "first", "last"])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), g, c, rest], names=["doc_id", "g", "c", "rest"])
+            g, c, at, first, size, again = (np.concatenate(x) for x in zip(*found))
+            narrow = [pa.array(x.astype(np.int32)) for x in (np.array(counts)[of], at, first, size)]
+            arrays = [batch.column(0).take(pa.array(of)), pa.array(g), pa.array(c), batch.column(1).take(pa.array(of)), *narrow, pa.array(again)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *CELL.names])
 
-    # Hashes that cannot be null get no null filters, which would make equal exchanges differ.
-    fields = [T.StructField(name, T.LongType(), False) for name in ("g", "c")]
-    rest = T.StructType([T.StructField(name, T.IntegerType()) for name in ("t1", "n_words", "first", "last")])
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields, T.StructField("rest", rest)]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *CELL.fields]))
 
 
-def _windows(rows: DataFrame, min_words: int) -> DataFrame:
-    """(w1, w2, doc_id, t1, n_words, at, again) of each window of (doc_id, t1, text, ranges)."""
+def _contexts(rows: DataFrame, min_words: int) -> DataFrame:
+    """(g, c, n, lowest, at_left, right, w) of each cell of (text, cells): the words before its suffix, counted, those
+    from it on, as sortable bytes, and the hash of each of its windows."""
+    inner = rows.schema["cells"].dataType.elementType
+    schema = T.StructType([*(inner[k] for k in ("g", "c", "n", "lowest")), T.StructField("at_left", T.IntegerType()), T.StructField("right", T.BinaryType()), T.StructField("w", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
-            sizes, counts = [], []
-            for text, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            rights, windows, sizes = [], [], []
+            cells_ = batch.column(1)
+            flat, ends = cells_.flatten(), cells_.offsets.to_numpy() - cells_.offsets[0].as_py()
+            at, first, size = (flat.field(flat.type.get_field_index(k)).to_numpy().astype(np.int64) for k in ("at", "first", "size"))
+            for i, text in enumerate(batch.column(0).to_pylist()):
+                a, f, n = (x[ends[i] : ends[i + 1]] for x in (at, first, size))
                 hashes = word_hashes(text)
-                at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in sorted(ranges, key=lambda r: r["first"])])
-                w1, w2 = (Rolling(hashes, k).run(at, at + min_words) for k in (0, 1))
-                order = np.lexsort((at, w2, w1))
-                same = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
-                again = np.zeros(len(at), bool)
-                again[order[1:][same]] = True
-                for held, new in zip(out, (w1, w2, at, again)):
-                    held.append(new)
-                sizes.append(len(at))
-                counts.append(len(hashes))
-            if not sizes:
+                # Word codes of 32 bits, 0 where the cell ends: a code that two words share could only make neighbours look more alike.
+                codes = np.concatenate([(hashes >> np.uint64(32)).astype(">u4") | np.array(1, ">u4"), np.zeros(min_words, ">u4")])
+                span = np.arange(min_words)
+                inside = a[:, None] + span < (f + n - 1 + min_words)[:, None]
+                rights.append(np.where(inside, codes[a[:, None] + span], 0).astype(">u4"))
+                where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(f, n)
+                windows.append(Rolling(hashes, 0).run(where, where + min_words).view(np.int64))
+                sizes.append(n)
+            if not rights:
                 continue
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            w1, w2, at, again = (np.concatenate(x) for x in out)
-            arrays = [
-                pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(32)).astype(np.int64)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)),
-                pa.array(np.array(counts, np.int32)[of]), pa.array(at.astype(np.int32)), pa.array(again),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["w1", "w2", "doc_id", "t1", "n_words", "at", "again"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"w1 long, w2 long, doc_id {kind}, t1 int, n_words int, at int, again boolean")
-
+            data = np.concatenate(rights)
+            right = pa.array([x.tobytes() for x in data], pa.binary())
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32), np.concatenate(windows))
+            yield pa.RecordBatch.from_arrays([*(flat.field(flat.type.get_field_index(k)) for k in ("g", "c", "n", "lowest")), pa.array((at - first).astype(np.int32)), right, lists], names=schema.names)
+
+    return rows.select("text", "cells").mapInArrow(run, schema)
+
+
+def common_prefix(rights: np.ndarray) -> np.ndarray:
+    """How many words each row of codes agrees in with the next."""
+    differ = rights[1:] != rights[:-1]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), rights.shape[1])
+
+
+def _neighbours(rows: DataFrame, min_words: int) -> DataFrame:
+    """Of cells sorted by (g, right): (g, c, n, lowest, windows: those that need no more words to the right
+    than a neighbour agrees in), each as (i, w). ``at_left`` is how many words stand before the suffix in the first window."""
+    schema = T.StructType([
+        *(rows.schema[k] for k in ("g", "c", "n", "lowest")),
+        T.StructField("windows", T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("w", T.LongType())]))),
+    ])
+    names = rows.schema.names
+
+    def emit(batch: pa.RecordBatch, agree: np.ndarray) -> pa.RecordBatch:
+        lists, left = batch.column(names.index("w")), batch.column(names.index("at_left")).to_numpy()
+        sizes = np.diff(lists.offsets.to_numpy())
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        i = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # Window i starts left - i words before the suffix and needs the rest of its words after it.
+        live = min_words - (left[of] - i) <= agree[of]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(of[live], minlength=len(sizes))))).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(i[live].astype(np.int32)), lists.flatten().filter(pa.array(live))], names=["i", "w"])
+        return pa.RecordBatch.from_arrays([*(batch.column(names.index(k)) for k in ("g", "c", "n", "lowest")), pa.ListArray.from_arrays(ends, pairs)], names=schema.names)
 
-def _merged(spans: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row at the edge of a range has a neighbour that is not seen: it counts as agreeing throughout.
+        held, before = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            agree, after = _agreement(table, names, before, min_words)
+            if table.num_rows > 1:
+                yield emit(table.slice(0, table.num_rows - 1), agree[:-1])
+            held, before = table.slice(table.num_rows - 1), after
+        if held is not None:
+            yield emit(held, np.array([min_words]))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _agreement(table: pa.RecordBatch, names: list[str], before: int | None, min_words: int) -> tuple[np.ndarray, int]:
+    """Each row's longest agreement with a neighbour, and that of the last row with the one before it."""
+    g = table.column(names.index("g")).to_numpy()
+    rights = np.frombuffer(b"".join(table.column(names.index("right")).to_pylist()), ">u4").reshape(len(g), min_words)
+    step = np.where(g[1:] == g[:-1], common_prefix(rights), 0)
+    up = np.concatenate(([min_words if before is None else before], step))
+    down = np.concatenate((step, [min_words]))
+    return np.maximum(up, down), int(up[-1])
+
+
+def _runs(mask: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of each run of set bits."""
+    while mask:
+        first = (mask & -mask).bit_length() - 1
+        rest = mask >> first
+        size = (rest ^ (rest + 1)).bit_length() - 1
+        yield first, first + size - 1
+        mask &= ~(((1 << size) - 1) << first)
+
+
+def _touching(spans: list[tuple[int, int]]) -> list[dict]:
     """Spans merged where they touch."""
+    out: list[dict] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
+        else:
+            out.append({"start": start, "end": end})
+    return out
+
+
+def _merged(rows: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, n_words, spans, removed, first_ids) of each (doc_id, n_words, found: array of cells with masks)."""
+    span = "array<struct<start:int,end:int>>"
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_words int, spans {span}, removed {span}, first_ids array<{kind}>"
 
-    def merge(found) -> list[dict]:
-        out: list[dict] = []
-        for start, end in sorted((s["start"], s["end"]) for s in found):
-            if out and start <= out[-1]["end"]:
-                out[-1]["end"] = max(out[-1]["end"], end)
-            else:
-                out.append({"start": start, "end": end})
-        return out
-
-    return spans.map(merge)
-
-
-def _carried(min_words: int, kind: str):
-    """(c, own, ids) of each cell with windows that another document holds first: those documents,
-    and whether the cell has other windows too."""
-
-    def one(others, cells) -> list[dict]:
-        if cells is None:
-            return []
-        found = sorted({(o["at"], o["from"]) for o in others})
-        at = [a for a, _ in found]
-        out = []
-        for r in cells:
-            last = r["end"] - min_words
-            i, j = bisect_left(at, r["start"]), bisect_right(at, last)
-            if i < j:
-                out.append({"c": r["c"], "own": j - i <= last - r["start"], "ids": sorted({f for _, f in found[i:j]})})
-        return out
-
-    def carry(others: pd.Series, cells: pd.Series) -> pd.Series:
-        return pd.Series([one(o, c) for o, c in zip(others, cells)], dtype=object)
-
-    # Set here, as names of types in postponed annotations are not looked up in this scope.
-    carry.__annotations__ = {"others": pd.Series, "cells": pd.Series, "return": pd.Series}
-    return F.pandas_udf(carry, f"array<struct<c:bigint,own:boolean,ids:array<{kind}>>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                both, gone, ids = [], [], set()
+                for cell in found:
+                    for mask in cell["masks"]:
+                        lowest, bits = mask["lowest"], mask["mask"]
+                        spans = lambda x, at=cell["first"]: [(at + i, at + j + min_words) for i, j in _runs(x)]
+                        both += spans(bits)
+                        gone += spans(bits if lowest is not None and lowest != doc else cell["again"] & bits)
+                        ids.add(lowest)
+                out.append((_touching(both), _touching(gone), sorted(ids - {None}) + [None] * (None in ids)))
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*out) if out else ([], [], []), arrow[2:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "n_words", "spans", "removed", "first_ids"])
+
+    spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    arrow = [None, None, spans_kind, spans_kind, pa.list_(to_arrow_type(rows.schema["doc_id"].dataType))]
+    return rows.mapInArrow(run, schema)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """One row for each document with a repeated passage: (doc_id, n_words, n_repeated, n_removed,
     spans, removed, first_ids): its spans of repeated words, those of them that go as later
     occurrences, and the documents that hold the first occurrences."""
-    if not 0 < gram <= min_words:
-        raise ValueError("a gram has 1 to min_words words")
+    if not 0 < gram <= min_words or min_words - gram > 61:
+        raise ValueError("a gram has 1 to min_words words, and at most 61 less than a window")
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.hash("text").alias("t1"), "text")
-    kept = _kept_suffixes(rows, min_words, gram)
-    # 1: neighbours in the order of the first words.
+    with Scratch(docs.sparkSession, "suffixes") as scratch:
+        return _repeated(rows, scratch, min_words, gram)
+
+
+def _repeated(rows: DataFrame, scratch: Scratch, min_words: int, gram: int) -> DataFrame:
+    """``repeated_passages`` of (doc_id, t1, text), checkpointed."""
+    # 1: suffixes whose first words come again, and classes of equal cells.
+    kept = scratch.table(_kept_suffixes(rows, min_words, gram), "kept")
     shared = counted_apart(kept, ["g"], F.count("*").alias("n")).filter("n > 1").select("g")
-    alike = kept.join(shared, "g").withColumn("k", F.xxhash64("g", "c"))
-    # 2: classes of equal cells.
-    # Counting ``rest`` makes both readers of ``alike`` want all its columns, so Spark deals it out once.
-    classes = counted_apart(alike, ["k", "c"], F.count("rest").alias("n"), F.min("doc_id").alias("lowest"))
-    placed = alike.join(classes, ["k", "c"]).select("doc_id", "n", "lowest", "c", "rest.*")
-    later = F.coalesce(F.col("doc_id") != F.col("lowest"), F.col("lowest").isNotNull())
-    placed = placed.withColumn("later", later).withColumn("span", F.struct(F.col("first").alias("start"), (F.col("last") + min_words).alias("end")))
-    placed = placed.groupBy("doc_id", "t1", "n_words").agg(
-        F.collect_list(F.when(F.col("n") > 1, F.struct("span", "later", "lowest", "c"))).alias("whole"),
-        F.collect_set(F.when((F.col("n") == 1) | ~F.col("later"), F.struct("first", "last"))).alias("ranges"),
-    )
-    placed = placed.checkpoint()
-    # 3: window by window, where a cell does not settle it.
-    open_ = placed.filter(F.size("ranges") > 0).select("doc_id", "t1", "ranges")
-    o = open_.select(F.col("doc_id").alias("o_id"), F.col("t1").alias("o_t1"), "ranges")
-    texts = rows.join(o, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("t1") == F.col("o_t1")))
-    windows = _windows(texts.select("doc_id", "t1", "text", "ranges"), min_words)
-    counts = counted_apart(windows, ["w1", "w2"], F.count("*").alias("n"), F.min("doc_id").alias("lowest")).filter("n > 1")
-    found = windows.join(counts.drop("n"), ["w1", "w2"]).select(
-        "doc_id", "t1", "n_words",
-        F.struct(F.col("at").alias("start"), (F.col("at") + min_words).alias("end")).alias("span"),
-        (later | F.col("again")).alias("later"), F.col("lowest").alias("from"),
-    )
-    other = ~F.col("from").eqNullSafe(F.col("doc_id"))
-    nothing = lambda kind: F.lit(None).cast(kind)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    cells_found = placed.select("doc_id", "t1", "n_words", F.inline("whole")).select("doc_id", "t1", "n_words", "span", "later", nothing(kind), "c")
-    both = found.withColumn("c", nothing("long")).union(cells_found).groupBy("doc_id", "t1", "n_words").agg(
-        F.collect_list("span").alias("spans"), F.collect_list(F.when(F.col("later"), F.col("span"))).alias("removed"), F.collect_set("from").alias("ids"),
-        F.collect_list(F.when(F.col("c").isNull() & other, F.struct(F.col("span.start").alias("at"), "from"))).alias("others"),
-        F.collect_list(F.when(F.col("c").isNotNull() & ~F.col("later"), F.struct("span.start", "span.end", "c"))).alias("cells"),
-    )
-    merge = F.pandas_udf(_merged, "array<struct<start:int,end:int>>")
-    carried = _carried(min_words, kind)("others", F.when(F.size("others") > 0, F.col("cells")))
-    both = both.select("doc_id", "t1", "n_words", merge("spans").alias("spans"), merge("removed").alias("removed"), "ids", F.size("cells").alias("n_cells"), carried.alias("carried"))
-    # Windows that only the class's copies hold were opened once, so they are not among the found: they are first in the document itself.
-    own = F.col("doc_id").isNotNull() & (F.col("n_cells") > F.size(F.filter("carried", lambda x: ~x["own"])))
-    both = both.withColumn("ids", F.when(own, F.array_append("ids", F.col("doc_id"))).otherwise(F.col("ids"))).drop("n_cells").checkpoint()
-    # 4: a class is known by its document of the smallest id and the cell's hash; classes of no row here are first found in that document alone.
-    ids = F.when(F.col("own"), F.array_append("ids", F.col("doc_id"))).otherwise(F.col("ids"))
-    carried = both.select("doc_id", F.inline("carried")).select(F.xxhash64("doc_id").alias("l"), "c", ids.alias("class_ids"))
-    carried = counted_apart(carried, ["l", "c"], F.first("class_ids").alias("class_ids"))
-    members = placed.select("doc_id", "t1", "n_words", F.inline(F.filter("whole", lambda x: x["later"]))).withColumn("l", F.xxhash64("lowest"))
-    members = members.join(carried, ["l", "c"], "left").select(
-        "doc_id", "t1", "n_words", nothing(both.schema["spans"].dataType).alias("spans"), nothing(both.schema["removed"].dataType).alias("removed"),
-        F.coalesce("class_ids", F.array("lowest")).alias("ids"),
-    )
-    merged = both.drop("carried").union(members).groupBy("doc_id", "t1", "n_words").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in ("spans", "removed")], F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("first_ids")
-    )
+    alike = scratch.table(kept.join(shared, "g").select(*kept.columns), "alike")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "first", "at", "size")
+    classes = scratch.table(counted_apart(alike, ["g", "c"], F.count("*").alias("n"), F.min(place).alias("p")), "classes")
+    # 2: the suffix array of cells that share their first words without being all equal.
+    several = counted_apart(classes, ["g"], F.count("*").alias("kinds")).filter("kinds > 1").select("g")
+    mixed = classes.join(several, "g").select(
+        F.col("p.doc_id").alias("doc_id"), F.col("p.t1").alias("t1"), F.struct("g", "c", "n", F.col("p.doc_id").alias("lowest"), "p.at", "p.first", "p.size").alias("cell")
+    )
+    mixed = mixed.groupBy(F.col("doc_id").alias("o_id"), F.col("t1").alias("o_t1")).agg(F.collect_list("cell").alias("cells"))
+    texts = rows.join(mixed, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("t1") == F.col("o_t1")))
+    contexts = scratch.table(_contexts(texts, min_words), "contexts")
+    ordered = contexts.repartitionByRange("g", "right", "c").sortWithinPartitions("g", "right", "c")
+    live = scratch.table(_neighbours(ordered, min_words), "live").select("g", "c", "n", "lowest", F.inline("windows"))
+    # 3: windows that stand in one cell more, and the document that has each first.
+    met = counted_apart(live, ["g", "w"], F.sum("n").alias("total"), F.min("lowest").alias("lowest")).filter("total > 1")
+    found = live.select("g", "c", "i", "w").join(met, ["g", "w"]).groupBy("g", "c", "lowest").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+    found = found.groupBy("g", "c").agg(F.collect_list(F.struct("lowest", "mask")).alias("masks"))
+    masks = F.coalesce("masks", F.array().cast(found.schema["masks"].dataType))
+    seen = F.aggregate(masks, F.lit(0).cast("long"), lambda s, m: s.bitwiseOR(m["mask"]))
+    rest = F.when(F.col("n") > 1, F.expr("shiftleft(1L, p.size) - 1").bitwiseAND(F.bitwise_not(seen))).otherwise(F.lit(0))
+    own = F.filter(F.array(F.struct(F.col("p.doc_id").alias("lowest"), rest.cast("long").alias("mask"))), lambda m: m["mask"] != 0)
+    ruled = classes.join(found, ["g", "c"], "left").select("g", "c", F.concat(masks, own).alias("masks")).filter(F.size("masks") > 0)
+    ruled = scratch.table(ruled, "ruled")
+    # 4: back to every copy.
+    members = alike.join(ruled, ["g", "c"]).groupBy("doc_id", "t1", "n_words").agg(F.collect_list(F.struct("first", "again", "masks")).alias("found"))
+    merged = _merged(members.select("doc_id", "n_words", "found"), min_words)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     return merged.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), total("spans").alias("n_repeated"), total("removed").alias("n_removed"), "spans", "removed", "first_ids",
-    )
+    ).checkpoint()
