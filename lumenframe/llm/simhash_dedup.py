@@ -4,27 +4,27 @@ Fingerprints: a bit is set where over half of the hashes of a text's word shingl
 repeats included (fewer words than a shingle: the whole sequence; no word: zero). Two
 fingerprints link if they differ in at most ``radius`` bits; groups are connected components.
 
-Comparison is exact and among distinct fingerprints only. The 64 bits are cut into ``blocks``
-spans; two fingerprints within the radius agree on at least ``blocks - radius`` of them, so
-each choice of that many spans deals the fingerprints into buckets, and every linked pair meets
-in some bucket. Inside a bucket, fingerprints are sorted by population count and cut into tiles;
-numpy exclusive-or and bit counts compare tile with tile, and tile pairs whose population counts
-differ by more than the radius are skipped. Large buckets are dealt out as tile pairs, one task
-each, so no task holds a hot bucket. What a comparison emits is a spanning set of its links
-(each fingerprint to one root per connected part), so a group of thousands of near copies gives
-as many rows, not their pairs. ``blocks`` grows with the number of fingerprints to hold bucket
-sizes down; every choice finds the same links.
+Comparison is exact and among distinct fingerprints only, tile by tile. A tile holds fingerprints
+of the same population counts: those of the four spans of 16 bits. Two fingerprints differ in at least as
+many bits as their counts differ in all, so tiles whose counts differ by more than the radius are
+never compared; all others are, by numpy exclusive-or and bit counts. (The count of all 64 bits
+alone leaves over half of the pairs, the four counts about a tenth.) Cells over ``size``
+fingerprints are cut into several tiles, dealt by hash, so no task holds a hot cell. A tile is sent
+to each tile it meets and compared there with the one that is held: a task holds one tile and
+one batch of others. What a comparison emits is a spanning set of its links (each fingerprint to one
+root per connected part), so a group of thousands of near copies gives as many rows, not their
+pairs. The work grows with the square of the distinct fingerprints; see the README for figures.
 
 Defined results: null and empty texts have fingerprint zero and link like any others; repeated
 rows and equal texts share a fingerprint and so a group; ``component_id`` is the smallest non-null
-doc_id reachable (null only where all ids are null); an empty table gives no rows; other columns
-are not read, and ``keep_one`` returns them untouched.
+doc_id reachable (null only where all ids are null); an empty table gives no rows; a very long text is
+hashed whole, its counts summed piece by piece; other columns are not read, and ``keep_one`` returns them untouched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +32,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.components import components, ensure_checkpoint_dir
+from lumenframe.lineage import ensure_checkpoint_dir
+from lumenframe.llm.components import components
 from lumenframe.llm.words import counted_apart, id_and_text, quoted
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Fingerprints of a tile; a bucket over TILE is dealt out as pairs of tiles.
-TILE = 1024
+#: Spans of 16 bits whose population counts tell tiles apart; five bits hold a count.
+SPANS = 4
+#: Fingerprints of a tile on average where a cell is cut; how many a side are compared at once.
+TILE, BLOCK = 2048, 512
 _PIECE = 1 << 16
-#: Side of a fingerprint that is compared with its own group; 0 and 1 are the two tiles of a pair.
-WITHIN = 2
+#: A tile's own fingerprints, and those of a tile that it is compared with; the own ones sort first.
+OWN, OTHER = 0, 1
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -86,45 +89,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _fingerprints(rows, shingle).drop("t1")
 
 
-def spans(blocks: int) -> list[int]:
-    """Masks that cut 64 bits into ``blocks`` spans of nearly equal length."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+def span_counts(fps: np.ndarray | int) -> np.ndarray:
+    """Population counts of the four spans of 16 bits of each fingerprint, in one number: five bits each."""
+    fps = np.asarray(fps, np.uint64)
+    parts = [np.bitwise_count((fps >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) << 5 * i for i in range(SPANS)]
+    return sum(parts)
 
 
-def bucket_masks(blocks: int, radius: int) -> list[int]:
-    return [sum(chosen) for chosen in combinations(spans(blocks), blocks - radius)]
+def _cell(fp: Column) -> Column:
+    """``span_counts`` as a column."""
+    parts = [F.shiftleft(F.bit_count(F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))), 5 * i) for i in range(SPANS)]
+    total = parts[0]
+    for part in parts[1:]:
+        total = total + part
+    return total.cast("long")
 
 
-def blocks_for(n: int, radius: int, bucket: int = 4 * TILE) -> int:
-    """The fewest spans for which ``n`` even fingerprints fill buckets to ``bucket`` at most."""
-    blocks = radius + 1
-    while n >> (64 * (blocks - radius) // blocks) > bucket and blocks < radius + 4:
-        blocks += 1
-    return blocks
+def neighbour_steps(radius: int) -> list[int]:
+    """What to add to a cell's number for each cell, itself and those after it, whose counts differ by
+    ``radius`` in all at most. Of two such cells one is after the other, so each pair is met once."""
+    steps = (range(-radius, radius + 1),) * SPANS
+    near = [sum(d << 5 * i for i, d in enumerate(move)) for move in product(*steps) if sum(map(abs, move)) <= radius]
+    return sorted(x for x in near if x >= 0)
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs, as indexes, between two sets or inside one (``right`` None), tile by tile."""
-    inside = right is None
-    order_l = np.argsort(np.bitwise_count(left), kind="stable")
-    order_r = order_l if inside else np.argsort(np.bitwise_count(right), kind="stable")
-    a, b = left[order_l], left[order_l] if inside else right[order_r]
-    pop_a, pop_b = np.bitwise_count(a).astype(np.int16), np.bitwise_count(b).astype(np.int16)
+def tile_links(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs, as indexes, between two sets: exclusive-or and bit counts, a block of a size that caches hold at a time."""
     rows, cols = [], []
-    for i in range(0, len(a), TILE):
-        tile = a[i : i + TILE]
-        for j in range(i if inside else 0, len(b), TILE):
-            other = b[j : j + TILE]
-            if pop_b[j] - pop_a[i + len(tile) - 1] > radius:
-                break  # later tiles only have larger counts
-            if pop_a[i] - pop_b[j + len(other) - 1] > radius:
-                continue
-            x, y = np.nonzero(np.bitwise_count(tile[:, None] ^ other[None, :]) <= radius)
-            if inside and i == j:
-                x, y = x[x < y], y[x < y]
-            rows.append(order_l[i + x])
-            cols.append(order_r[j + y])
+    for i in range(0, len(left), BLOCK):
+        mine = left[i : i + BLOCK, None]
+        for j in range(0, len(right), BLOCK):
+            x, y = np.nonzero(np.bitwise_count(mine ^ right[None, j : j + BLOCK]) <= radius)
+            rows.append(x + i)
+            cols.append(y + j)
     if not rows:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(rows), np.concatenate(cols)
@@ -148,85 +145,80 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by group: compares each whole group and yields its spanning links."""
-    held: list[np.ndarray] = []
-    key = None
-
-    def close() -> tuple[np.ndarray, np.ndarray]:
-        rows = np.concatenate(held, axis=1)
-        fps = rows[0].view(np.uint64)
-        if rows[1][0] == WITHIN:
-            x, y = tile_links(fps, None, radius)
-        else:
-            lower, upper = np.flatnonzero(rows[1] == 0), np.flatnonzero(rows[1] == 1)
-            x, y = tile_links(fps[lower], fps[upper], radius) if len(lower) and len(upper) else (lower[:0], lower[:0])
-            x, y = lower[x], upper[y]
-        root = spanning(len(fps), x, y)
-        far = np.flatnonzero(root != np.arange(len(fps)))
-        return rows[0][far], rows[0][root[far]]
-
-    def out(links: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) if links else np.empty(0, np.int64) for x in (zip(*links) if links else ((), ())))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
+    """Over rows sorted by (tile, kind): each tile's own fingerprints come first, then the tiles that are
+    to be compared with it. Yields a spanning set of the links."""
+    key, own = None, np.empty(0, np.uint64)
     for batch in batches:
-        links = []
-        groups, fps, sides = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        edges = np.flatnonzero(np.diff(groups)) + 1
-        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(groups)]):
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+
+        def keep(fps: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+            root = spanning(len(fps), x, y)
+            far = np.flatnonzero(root != np.arange(len(fps)))
+            a.append(fps[far])
+            b.append(fps[root[far]])
+
+        tiles, kinds = (batch.column(i).to_numpy() for i in (0, 1))
+        lists = batch.column(2)
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten().to_numpy().view(np.uint64)
+        edges = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(kinds) != 0)) + 1
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(tiles)]):
             if start == end:
                 continue
-            if key is not None and groups[start] != key:
-                links.append(close())
-                held = []
-            key = groups[start]
-            held.append(np.stack([fps[start:end], sides[start:end].astype(np.int64)]))
-        yield out(links)
-    if held:
-        yield out([close()])
+            fps = flat[ends[start] : ends[end]]
+            if kinds[start] == OWN:
+                key, own = tiles[start], fps.copy()
+                x, y = tile_links(own, own, radius)
+                keep(own, x[x < y], y[x < y])
+            elif tiles[start] == key:
+                x, y = tile_links(own, fps, radius)
+                keep(np.concatenate([own, fps]), x, y + len(own))
+        pairs = [np.concatenate(v).view(np.int64) if v else np.empty(0, np.int64) for v in (a, b)]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in pairs], names=["a", "b"])
+
+
+def tiles(fps: DataFrame, radius: int = RADIUS, size: int = TILE) -> DataFrame:
+    """(tile, kind, fps): the distinct longs of ``fps.fp`` cut into tiles, each as itself (OWN) and as what is
+    to be compared with each tile whose population counts are within the radius (OTHER)."""
+    celled = fps.select("fp", _cell(F.col("fp")).alias("cell"))
+    counts = celled.groupBy("cell").agg(F.count("*").alias("n"))
+    # At most 17 ** 4 = 83,521 rows of two numbers, whatever the size of the table: a span has 0 to 16 bits set.
+    parts = F.broadcast(counts.select("cell", F.ceil(F.col("n") / size).cast("long").alias("parts")))
+    cut = celled.join(parts, "cell").select("fp", "cell", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
+    packed = cut.groupBy("cell", "part").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    number = lambda cell, part: F.shiftleft(part, 5 * SPANS) + cell
+    near = packed.select("cell", "part", "fps", F.explode(F.array(*[F.lit(x).cast("long") for x in neighbour_steps(radius)])).alias("step"))
+    near = near.select((F.col("cell") + F.col("step")).alias("to"), "cell", "part", "fps")
+    near = near.join(parts.withColumnRenamed("cell", "to"), "to").select("to", "cell", "part", "fps", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    # Parts of one cell meet once; a tile meets itself as OWN.
+    near = near.filter((F.col("to") != F.col("cell")) | (F.col("other") > F.col("part")))
+    return near.select(number(F.col("to"), F.col("other")).alias("tile"), F.lit(OTHER).alias("kind"), "fps").union(
+        packed.select(number(F.col("cell"), F.col("part")).alias("tile"), F.lit(OWN).alias("kind"), "fps")
+    )
+
+
+def links(fps: DataFrame, radius: int = RADIUS, size: int = TILE) -> DataFrame:
+    """Spanning links (a, b) among the distinct longs of ``fps.fp``."""
+    dealt = tiles(fps, radius, size).repartition("tile").sortWithinPartitions("tile", "kind")
+    return dealt.mapInArrow(lambda it: _compare(it, radius), "a long, b long")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
-    """Spanning links (a, b) among the distinct longs of ``fps.fp``."""
-    if blocks is None:
-        blocks = blocks_for(fps.count(), radius)
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in bucket_masks(blocks, radius)])
-    dealt = fps.select("fp", F.posexplode(masks).alias("t", "mask"))
-    dealt = dealt.select("fp", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
-    sizes = counted_apart(dealt, ["bucket"], F.count("*").alias("n")).filter("n > 1")
-    # Joined as two: the many small buckets stay whole, large ones become pairs of tiles.
-    sized = dealt.join(sizes, "bucket")
-    small = sized.filter(F.col("n") <= 4 * tile).select(F.col("bucket").alias("g"), "fp", F.lit(WITHIN).alias("side"))
-    # A tile of a large bucket holds one population count and one of ``parts`` hash parts.
-    pop, parts = F.bit_count("fp").cast("long"), F.ceil(F.col("n") / (4 * tile))
-    large = sized.filter(F.col("n") > 4 * tile).select("fp", "bucket", pop.alias("pop"), parts.alias("parts"), F.pmod(F.xxhash64("fp", F.lit("part")), parts).alias("part"))
-    me = F.col("pop") * F.col("parts") + F.col("part")
-    pops = F.sequence(F.greatest(F.col("pop") - radius, F.lit(0)), F.least(F.col("pop") + radius, F.lit(64)))
-    other = F.flatten(F.transform(pops, lambda p: F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: p * F.col("parts") + q)))
-    large = large.select("fp", "bucket", me.alias("me"), F.explode(other).alias("other"))
-    large = large.select(
-        F.xxhash64("bucket", F.least("me", "other"), F.greatest("me", "other"), F.lit("pair")).alias("g"), "fp",
-        F.when(F.col("me") > F.col("other"), 1).when(F.col("me") < F.col("other"), 0).otherwise(WITHIN).alias("side"),
-    )
-    groups = small.union(large).repartition("g").sortWithinPartitions("g")
-    return groups.mapInArrow(lambda it: _compare(it, radius), "a long, b long")
-
-
-def _grouped(docs: DataFrame, radius: int, shingle: int, blocks: int | None) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """The fingerprint of each row of (doc_id, t1, text), and (fp, root, component_id) of each fingerprint."""
     ensure_checkpoint_dir(docs.sparkSession)
     marked = _fingerprints(docs, shingle).checkpoint()
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    roots = components(links(distinct.select("fp"), radius, blocks))
+    roots = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = counted_apart(rooted, ["root"], F.min("least").alias("component_id"))
     return marked, rooted.join(lowest, "root").select("fp", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, blocks: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``."""
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.lit(0).cast("long").alias("t1"), "text")
-    marked, named = _grouped(rows, radius, shingle, blocks)
+    marked, named = _grouped(rows, radius, shingle)
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -243,7 +235,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     text, key = F.col(quoted(text_col)), F.col(quoted(id_col))
     rows = docs.select(key.alias("doc_id"), F.xxhash64(text).alias("t1"), text.alias("text"))
-    marked, named = _grouped(rows, radius, shingle, None)
+    marked, named = _grouped(rows, radius, shingle)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1"))
     chosen = marked.join(named.select("fp", "root"), "fp").groupBy("root").agg(first.alias("c")).select("c.doc_id", "c.t1").distinct()
     whole = docs.select(key.alias("kept_id"), F.xxhash64(text).alias("kept_t1"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc"))
