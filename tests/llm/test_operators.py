@@ -130,14 +130,16 @@ def test_bpe_forgets_without_harm(monkeypatch, small):
     assert encoder.encode_batch(texts)[0].tolist() == want
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_decontamination(spark, small, awkward, empty, block_bytes):
+@pytest.mark.parametrize(("most_bytes", "shard_bytes"), [(1 << 20, 1), (0, 20_000), (0, 1 << 24)])
+def test_decontamination(spark, small, awkward, empty, most_bytes, shard_bytes):
+    """With the benchmark sent whole, and with documents in many shards and in one."""
+    ways = {"most_bytes": most_bytes, "shard_bytes": shard_bytes}
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
     extra = [(900, "word3 word4 word5"), (901, None), (902, " . "), (903, "lorem ipsum"), (900, "word50 word51"), (None, "Shouting ALL the")]
     more = spark.createDataFrame([*items, *extra], "item_id long, text string")
     for docs, pairs, b, its in ((words.documents(spark, SMALL), small, bench, items), (awkward, AWKWARD, more, items + extra)):
-        found = decontaminate.matches(docs, b, block_bytes=block_bytes).select(
+        found = decontaminate.matches(docs, b, **ways).select(
             "doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), F.size("items").alias("n_items"),
             F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"), "matches",
         )
@@ -154,20 +156,43 @@ def test_decontamination(spark, small, awkward, empty, block_bytes):
                 for m in r["matches"]:
                     piece = doc[m["doc_start"] : m["doc_start"] + m["length"]]
                     assert any(t[m["item_start"] : m["item_start"] + m["length"]] == piece for t in texts[m["item_id"]])
-    kept = decontaminate.remove_contaminated(awkward, more, block_bytes=block_bytes)
+    kept = decontaminate.remove_contaminated(awkward, more, **ways)
     assert kept.columns == awkward.columns
     assert {r["doc_id"] for r in kept.collect()} - {None} == {d for d, t in AWKWARD if not contamination(t, items + extra)["contaminated"]}
     none = bench.limit(0)
-    assert decontaminate.matches(awkward, none).filter("size(items) > 0 OR size(spans) > 0").count() == 0
-    assert decontaminate.matches(empty, bench).count() == 0
+    assert decontaminate.matches(awkward, none, **ways).filter("size(items) > 0 OR size(spans) > 0").count() == 0
+    assert decontaminate.matches(empty, bench, **ways).count() == 0
+    plan = decontaminate.matches(awkward, more, **ways)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
 
 
 def test_suffix_array_is_sorted():
     draw = np.random.default_rng(1)
-    codes = np.concatenate([draw.integers(0, 3, 400), np.full(13, -1)]).astype(np.int32)
-    array = decontaminate.suffix_array(codes, np.arange(400), 13)
-    keys = [tuple(np.concatenate([codes, np.full(14, -1)])[i : i + 13]) for i in array]
-    assert keys == sorted(keys)
+    for codes in (draw.integers(0, 3, 400), np.tile([0, 1], 300), np.zeros(50), draw.integers(0, 300, 500), np.array([4])):
+        array = decontaminate.suffix_array(codes.astype(np.int32), np.arange(len(codes)))
+        keys = [tuple(codes[i:]) for i in array]
+        assert keys == sorted(keys) and sorted(array) == list(range(len(codes)))
+
+
+def test_longest_matches_with_places():
+    """Against every alignment of every item with every document."""
+    draw = random.Random(9)
+    for window in (2, 4, 13):
+        items = [(str(i % 7), " ".join(draw.choice("abcd") for _ in range(draw.randrange(25)))) for i in range(12)]
+        docs = [[draw.choice("abcdx").encode() for _ in range(draw.randrange(40))] for _ in range(15)]
+        found = decontaminate.shard_matches(docs, decontaminate.Queries(items, window))
+        for doc, (_, names, got) in zip(docs, found):
+            best = {}
+            for item, text in items:
+                words = text.encode().split()
+                for i in range(len(words)):
+                    for j in range(len(doc)):
+                        n = 0
+                        while i + n < len(words) and j + n < len(doc) and words[i + n] == doc[j + n]:
+                            n += 1
+                        if n >= window or len(words) < window and i == 0 and n == len(words):
+                            best[item] = max(best.get(item, (0, 0)), (n, -j))
+            assert {m["item_id"]: (m["length"], -m["doc_start"]) for m in got} == best and names == sorted(best)
 
 
 def test_simhash(spark, small, awkward, empty):
