@@ -11,7 +11,7 @@ Each batch of texts walks one trie, of the words it has not met before; ids of w
 from batch to batch and start anew when they reach a bound, which changes no result. No shuffle is needed, and a lost task is just run again.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; repeated rows
-are encoded row by row; an empty table gives no rows; other columns are not read. The added
+are encoded row by row; a very long text is encoded whole, as is a word of any length; an empty table gives no rows; other columns are not read. The added
 token's own string in a text gives its id, as in the library's default.
 """
 
@@ -38,6 +38,8 @@ from lumenframe.llm.words import id_and_text
 MOST_WORDS = 300_000
 #: Verdicts on token pairs that are kept.
 MOST_PAIRS = 1 << 20
+#: Bytes at a token's end that tell how long it may be.
+ENDING = 3
 
 
 def _class(points: list[int]) -> str:
@@ -104,7 +106,7 @@ class Vocabulary:
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: text.encode() for text, i in self.added.items()}
-        self.longest = max(map(len, self.id_of))
+        self.sizes = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
         self.pairs: dict[tuple[int, int], bool] = {}
         made = {token: (rank, pair) for pair, (rank, token) in sorted(self.merges.items(), key=lambda m: -m[1][0])}
         # Each token's right and left edge: (part, rank of the merge that ends the part's standing alone).
@@ -115,6 +117,11 @@ class Vocabulary:
             if left in whole and right in whole and not self._crossed(left, right, rank):
                 whole.add(token)
         self.reachable = {b: i for b, i in self.id_of.items() if i in whole}
+        # How long a token may be that ends in given bytes; any other ending belongs to shorter tokens only.
+        self.longest_ending: dict[bytes, int] = {}
+        for b in self.reachable:
+            if len(b) >= ENDING:
+                self.longest_ending[b[-ENDING:]] = max(len(b), self.longest_ending.get(b[-ENDING:], 0))
 
     @staticmethod
     def _edge(token: int, made: dict, side: int) -> list[tuple[int, int]]:
@@ -149,144 +156,41 @@ class Vocabulary:
         return known
 
 
-def read_off(state: list[int], length: int, v: Vocabulary) -> list[int]:
+def read_off(state: list[int], length: int, sizes: list[int]) -> list[int]:
     """A word's ids, walked back from its last token."""
     ids = []
     while length:
         ids.append(state[length])
-        length -= len(v.bytes_of[state[length]])
+        length -= sizes[state[length]]
     return ids[::-1]
 
 
-def encode_long(words: list[bytes], v: Vocabulary) -> Iterator[list[int]]:
-    """Ids of sorted words of any length, by a depth-first walk of their trie.
+def encode_words(words: list[bytes], v: Vocabulary) -> Iterator[list[int]]:
+    """Ids of sorted words, by a depth-first walk of their trie.
 
-    ``state`` is the path to the current node: the last token of each prefix. It is cut back to
-    where the next word branches off, and only nodes below are solved.
+    ``state`` is the path to the current node: the last token of each prefix. Sorted words are
+    the trie's leaves in depth-first order, so the path is cut back to where the next word
+    branches off, and only the nodes below are solved.
     """
     state, last = [-1], b""
+    reachable, ending, known, may_follow = v.reachable.get, v.longest_ending.get, v.pairs.get, v.may_follow
     for word in words:
         shared, most = 0, min(len(last), len(word))
         while shared < most and last[shared] == word[shared]:
             shared += 1
         del state[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
-            for start in range(max(0, end - v.longest), end):
-                token = v.reachable.get(word[start:end])
-                if token is not None and (not start or v.may_follow(state[start], token)):
+            # Tokens that end here, the longest first.
+            for start in range(max(0, end - ending(word[max(0, end - ENDING) : end], ENDING - 1)), end):
+                token = reachable(word[start:end])
+                if token is None:
+                    continue
+                fits = not start or known((state[start], token))
+                if fits or fits is None and may_follow(state[start], token):
                     state.append(token)
                     break
         last = word
-        yield read_off(state, len(word), v)
-
-
-class ShortTrie:
-    """The same walk for words of up to 16 bytes, all nodes of one depth at a time.
-
-    Rows are the sorted words, which are the trie's leaves in depth-first order. A node is owned
-    by the first word below it, and its token is found once, in the owner's row, from the tokens
-    of the nodes above; then the words that share the node get it from their owner.
-    """
-
-    WIDTH = 16
-
-    def __init__(self, v: Vocabulary):
-        self.v = v
-        short = {b: i for b, i in v.reachable.items() if len(b) <= self.WIDTH}
-        high, low = self._packed(list(short))
-        size = np.fromiter(map(len, short), np.int64, len(short))
-        # An open-addressed table from (bytes, length) to token; both are compared, so it is exact.
-        self.bits = max(1, (4 * len(short)).bit_length())
-        self.high, self.low = (np.zeros(1 << self.bits, np.uint64) for _ in range(2))
-        self.size, self.token = np.zeros(1 << self.bits, np.int64), np.full(1 << self.bits, -1, np.int64)
-        self.probes = 1
-        for n, (at, token) in enumerate(zip(self._slot(high, low, size).tolist(), short.values())):
-            tried = 1
-            while self.token[at] >= 0:
-                at, tried = (at + 1) & ((1 << self.bits) - 1), tried + 1
-            self.high[at], self.low[at], self.size[at], self.token[at] = high[n], low[n], size[n], token
-            self.probes = max(self.probes, tried)
-        self.token_size = np.zeros(max(v.bytes_of) + 1, np.int64)
-        for i, b in v.bytes_of.items():
-            self.token_size[i] = len(b)
-        self.pair_key, self.pair_fits = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
-
-    def _packed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' bytes, from the top, as two 64-bit numbers each."""
-        rows = np.frombuffer(b"".join([w.ljust(self.WIDTH, b"\0") for w in words]), ">u8").reshape(-1, 2).astype(np.uint64)
-        return rows[:, 0], rows[:, 1]
-
-    def _slot(self, high: np.ndarray, low: np.ndarray, size) -> np.ndarray:
-        mixed = (high ^ (low * np.uint64(0x9E3779B97F4A7C15)) ^ np.asarray(size).astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x165667B19E3779F9) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _tokens(self, high: np.ndarray, low: np.ndarray, start: int, end: int) -> np.ndarray:
-        """The token that is bytes ``start`` to ``end`` of each word, or -1."""
-        if start >= 8:
-            high, low = low << np.uint64(8 * (start - 8)), np.zeros_like(low)
-        elif start:
-            high, low = (high << np.uint64(8 * start)) | (low >> np.uint64(64 - 8 * start)), low << np.uint64(8 * start)
-        size = end - start
-        if size <= 8:
-            high, low = high & np.uint64((0xFFFFFFFFFFFFFFFF << (64 - 8 * size)) & 0xFFFFFFFFFFFFFFFF), np.zeros_like(low)
-        else:
-            low = low & np.uint64((0xFFFFFFFFFFFFFFFF << (128 - 8 * size)) & 0xFFFFFFFFFFFFFFFF)
-        found, at = np.full(len(high), -1, np.int64), self._slot(high, low, size)
-        open_ = np.arange(len(high))
-        for _ in range(self.probes):
-            slot = at[open_]
-            same = (self.high[slot] == high[open_]) & (self.low[slot] == low[open_]) & (self.size[slot] == size)
-            found[open_[same]] = self.token[slot[same]]
-            open_ = open_[~same & (self.token[slot] >= 0)]
-            if not open_.size:
-                break
-            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-        return found
-
-    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """``may_follow`` of many pairs, remembered in a table of fixed size."""
-        key = left << 20 | right
-        slot = (key * 0x9E3779B1 >> 12) & (len(self.pair_key) - 1)
-        out = self.pair_fits[slot]
-        if (missed := np.flatnonzero(self.pair_key[slot] != key)).size:
-            pairs, back = np.unique(key[missed], return_inverse=True)
-            fits = np.fromiter((self.v.may_follow(p >> 20, p & 0xFFFFF) for p in pairs.tolist()), bool, len(pairs))
-            out[missed] = fits[back]
-            self.pair_key[slot[missed]], self.pair_fits[slot[missed]] = key[missed], fits[back]
-        return out
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of sorted words, one word after the other, and how many each has."""
-        n, size = len(words), np.fromiter(map(len, words), np.int64, len(words))
-        high, low = self._packed(words)
-        grid = np.frombuffer(b"".join([w.ljust(self.WIDTH, b"\0") for w in words]), np.uint8).reshape(n, self.WIDTH)
-        shared = np.zeros(n, np.int64)
-        differs = grid[1:] != grid[:-1]
-        shared[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), self.WIDTH)
-        shared[1:] = np.minimum(shared[1:], np.minimum(size[1:], size[:-1]))
-        state = np.full((n, self.WIDTH + 1), -1, np.int64)
-        for end in range(1, int(size.max(initial=0)) + 1):
-            mine = np.flatnonzero((shared < end) & (end <= size))
-            open_ = mine
-            for start in range(end):
-                token = self._tokens(high[open_], low[open_], start, end)
-                has = np.flatnonzero(token >= 0)
-                fits = has if not start else has[self._fit(state[open_[has], start], token[has])]
-                state[open_[fits], end] = token[fits]
-                open_ = np.delete(open_, fits)
-                if not open_.size:
-                    break
-            owner = np.zeros(n, np.int64)
-            owner[mine] = mine
-            state[:, end] = state[np.maximum.accumulate(owner), end]
-        ids, at, column = np.full((n, self.WIDTH), -1, np.int32), size.copy(), self.WIDTH
-        while (left := np.flatnonzero(at)).size:
-            column -= 1
-            token = state[left, at[left]]
-            ids[left, column] = token
-            at[left] -= self.token_size[token]
-        # A word's ids end at the column where its walk ended; the order within its row is kept.
-        return ids[ids >= 0], np.count_nonzero(ids >= 0, axis=1)
+        yield read_off(state, len(word), v.sizes)
 
 
 def _taken(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -300,12 +204,10 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = v = Vocabulary(path)
-        self.trie = ShortTrie(v)
         added = sorted(v.added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        pieces = [v.bytes_of.get(i, b"") for i in range(max(v.bytes_of) + 1)]
-        self.token_bytes = np.frombuffer(b"".join(pieces), np.uint8)
-        self.token_size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.token_bytes = np.frombuffer(b"".join(v.bytes_of.get(i, b"") for i in range(len(v.sizes))), np.uint8)
+        self.token_size = np.array(v.sizes, np.int64)
         self.token_start = np.cumsum(self.token_size) - self.token_size
         self._forget()
 
@@ -327,15 +229,12 @@ class Encoder:
         added = self.vocabulary.added
         special = sorted(new & added.keys())
         encoded = sorted(w.encode() for w in new if w not in added)
-        short = [w for w in encoded if len(w) <= ShortTrie.WIDTH]
-        long = [w for w in encoded if len(w) > ShortTrie.WIDTH]
-        flat, sizes = self.trie.encode(short) if short else (np.empty(0, np.int32), np.empty(0, np.int64))
-        rest = [*encode_long(long, self.vocabulary), *([added[w]] for w in special)]
-        self.words.update(zip([*(w.decode() for w in short + long), *special], itertools.count(len(self.words))))
-        sizes = np.concatenate([sizes, np.fromiter(map(len, rest), np.int64, len(rest))])
+        found = [*encode_words(encoded, self.vocabulary), *([added[w]] for w in special)]
+        self.words.update(zip([*(w.decode() for w in encoded), *special], itertools.count(len(self.words))))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, flat, np.fromiter(itertools.chain.from_iterable(rest), np.int32)])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.int32)])
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and how many each text has."""
