@@ -9,8 +9,9 @@ Slots number the rows of a shard from 0 without gaps. No task ever ranks a whole
 (id, size, checksum) rows are counted first, those counts are ranked inside hashed bins of a
 bounded size, and bins start where the previous ones of the shard end.
 
-Defined results: a null key is hashed as key 0; a null text has size 1 and checksum 0, as an
-empty one; repeated rows share a shard and take neighbouring slots; an empty table gives no
+Defined results: an id that is no whole number is hashed by its text (XXH64), a null one is key 0, and comes
+back as null; a null text has size 1 and checksum 0, as an empty one, and a very long one counts whole; repeated
+rows share a shard and take neighbouring slots, in pieces of a bounded size; an empty table gives no
 rows; other columns are not read.
 """
 
@@ -19,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.words import id_and_text
+from lumenframe.lineage import ensure_checkpoint_dir
+from lumenframe.llm.words import id_and_text, quoted
 
 #: Fixed values of the published generator.
 MULTIPLIER = 2862933555777941757
@@ -28,6 +30,8 @@ LOW = 0xFFFFFFFF
 USUAL_JUMPS = 48
 #: Distinct rows that one bin of a shard holds on average.
 BIN_ROWS = 20_000
+#: Equal rows that are numbered at a time.
+PIECE_ROWS = 4096
 
 
 def _times(half: Column, factor: int) -> Column:
@@ -84,11 +88,19 @@ def jump_shards(key: Column, shards: list[int]) -> Column:
     return F.struct(*[state[f"b{n}"].cast("int").alias(f"b{n}") for n in shards])
 
 
-def assign(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", bin_rows: int = BIN_ROWS) -> DataFrame:
+def key_of(df: DataFrame, id_col: str) -> Column:
+    """The 64-bit key of an id: whole numbers are their own, anything else is hashed by its text; null is 0."""
+    whole = df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    key = F.col(quoted(id_col)).cast("long") if whole else F.when(F.col(quoted(id_col)).isNotNull(), F.xxhash64(F.col(quoted(id_col)).cast("string")))
+    return F.coalesce(key, F.lit(0).cast("long"))
+
+
+def assign(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", bin_rows: int = BIN_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, shard, grown_shard (with one more shard) and slot.
 
-    The text stays in the scan's stage: only its size and checksum are shuffled.
+    The texts are read once and stay in the scan's stage: only sizes, checksums and counts go on.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
@@ -96,11 +108,11 @@ def assign(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     )
     key = ["doc_id", "size", "text_crc32"]
     counted = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    state = jump_shards(F.col("doc_id"), [n_shards, n_shards + 1])
+    state = jump_shards(key_of(counted, "doc_id"), [n_shards, n_shards + 1])
     placed = counted.withColumn("s", state).select(
         *key, "n", F.col(f"s.b{n_shards}").alias("shard"), F.col(f"s.b{n_shards + 1}").alias("grown_shard")
-    )
-    bins = max(1, -(-docs.count() // (n_shards * bin_rows)))
+    ).checkpoint()
+    bins = max(1, -(-placed.count() // (n_shards * bin_rows)))
     placed = placed.withColumn("bin", F.pmod(F.xxhash64(*key), F.lit(bins)).cast("long"))
     in_shard = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -109,7 +121,9 @@ def assign(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     )
     in_bin = Window.partitionBy("shard", "bin").orderBy(*[F.col(k).asc_nulls_first() for k in key])
     ranked = placed.withColumn("before", F.coalesce(F.sum("n").over(in_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    first = F.col("start") + F.col("before")
-    return ranked.join(starts, ["shard", "bin"]).select(
-        *key, "shard", "grown_shard", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot")
-    )
+    located = ranked.join(starts, ["shard", "bin"]).withColumn("first", F.col("start") + F.col("before"))
+    # Equal rows take their slots in pieces, which are dealt apart: no array is longer than a piece.
+    pieces = located.select(*key, "shard", "grown_shard", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(piece_rows).cast("long"))).alias("at"))
+    pieces = pieces.repartition(*key, "at")
+    last = F.least(F.col("at") + piece_rows, F.col("n")) - 1
+    return pieces.select(*key, "shard", "grown_shard", F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + last)).alias("slot"))
