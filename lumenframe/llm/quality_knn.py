@@ -9,9 +9,9 @@ most), and every document's cosines with all of them are computed in blocks. The
 labels' mean over the ``neighbours`` most similar, weighted by similarity.
 
 Labels, language, source and ids are never inputs of a score. Defined results: null and empty
-texts have only their measurements' terms, so a vector and a score all the same; ties between
-equally similar neighbours go to the sample's order by id; repeated rows score alike; an empty
-table gives no rows; a sample of no rows gives 0.5 throughout, one label alone gives that label;
+texts have only their measurements' terms, so a vector and a score all the same; very long texts are counted whole; of
+equally similar neighbours those of the smallest ids vote; repeated rows score alike, in whatever block they come; of
+several texts under one labelled id the smallest is learnt from; an empty table gives no rows; a sample of no rows gives 0.5 throughout, one label alone gives that label;
 other columns are not read.
 """
 
@@ -38,7 +38,11 @@ WEIGHTS = (0.4, 1.0, 1.2)
 PER_LABEL = 1500
 RANK = 64
 NEIGHBOURS = 15
-BLOCK = 2048
+BLOCK = 1024
+#: Terms of several documents that are projected at a time.
+GATHER = 1 << 15
+#: Parts of one in which latent vectors are counted: 64 products of two such numbers stay below 2 ** 53.
+ONE = float(1 << 20)
 #: Distinct words whose terms a task keeps.
 MOST_WORDS = 300_000
 SCORE_AT = 0.3
@@ -114,46 +118,65 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 @dataclass
 class Model:
+    """``vectors`` holds the sample's latent vectors as whole numbers, in the order of their ids."""
+
     idf: np.ndarray
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
     neighbours: int = NEIGHBOURS
 
-    def rows(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Weighted term vectors, each family scaled to its weight."""
-        x = np.zeros((len(counted), TERMS), np.float32)
-        for i, (terms, counts) in enumerate(counted):
-            x[i, terms] = (1 + np.log(counts)) * self.idf[terms]
-        at = 0
-        for size, weight in zip((WORD_TERMS, SHAPE_TERMS, LEVEL_TERMS), WEIGHTS):
-            part = x[:, at : at + size]
-            part *= weight / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
-            at += size
-        return x
+    def weighted(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, weight) of each term of each document, each family scaled to its weight."""
+        of = np.repeat(np.arange(len(counted)), [len(t) for t, _ in counted])
+        terms, counts = (np.concatenate([c[i] for c in counted]) for i in (0, 1))
+        weight = (1 + np.log(counts)) * self.idf[terms]
+        family = (terms >= WORD_TERMS).astype(np.int64) + (terms >= WORD_TERMS + SHAPE_TERMS)
+        group = len(WEIGHTS) * of + family
+        norms = np.sqrt(np.bincount(group, weight**2, len(WEIGHTS) * len(counted)))
+        return of, terms, weight * np.array(WEIGHTS)[family] / np.maximum(norms[group], 1e-12)
 
     def latent(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        z = self.rows(counted) @ self.axes
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        """Unit vectors as whole numbers of ``ONE`` parts: products of them are exact in double, so a cosine is the
+        same number whatever the block it is computed in."""
+        z, at = np.zeros((len(counted), self.axes.shape[1])), 0
+        while at < len(counted):
+            end, size = at, 0
+            while end < len(counted) and (end == at or size + len(counted[end][0]) <= GATHER):
+                size += len(counted[end][0])
+                end += 1
+            of, terms, weight = self.weighted(counted[at:end])
+            z[at:end] = np.add.reduceat(self.axes[terms] * weight[:, None], np.searchsorted(of, np.arange(end - at)), axis=0)
+            at = end
+        return np.rint(z / np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-12) * ONE)
 
     def score(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Votes of the nearest labelled vectors, a block of documents at a time."""
         if not len(self.labels):
             return np.full(len(counted), 0.5)
         out = np.empty(len(counted))
-        k = min(self.neighbours, len(self.labels))
         for at in range(0, len(counted), BLOCK):
-            cosines = self.latent(counted[at : at + BLOCK]) @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-6).astype(np.float64) ** 4
+            cosines = self.latent(counted[at : at + BLOCK]) @ self.vectors.T / ONE**2
+            near = nearest(cosines, min(self.neighbours, len(self.labels)))
+            weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-6) ** 4
             out[at : at + BLOCK] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return out
 
 
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """For each row the places of its ``k`` largest, in order of place; of equals the first places."""
+    least = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, -k][:, None]
+    chosen, level = cosines > least, cosines == least
+    room = k - chosen.sum(axis=1)
+    crowded = np.flatnonzero(level.sum(axis=1) > room)
+    level[crowded] &= np.cumsum(level[crowded], axis=1) <= room[crowded, None]
+    return np.nonzero(chosen | level)[1].reshape(-1, k)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model:
     """Learns from at most ``per_label`` documents of each label; the frequencies are of all documents."""
     df = document_frequencies(docs)
-    idf = (np.log((1 + df[TERMS]) / (1 + df[:TERMS])) + 1).astype(np.float32)
+    idf = np.log((1 + df[TERMS]) / (1 + df[:TERMS])) + 1
     sample = F.broadcast(training_sample(labels, "quality", per_label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +188,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, rank: in
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, y int, terms array<long>, counts array<long>"
-    rows = docs.join(sample, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text").mapInArrow(run, schema).toArrow().sort_by("doc_id")
-    model = Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), rows["y"].to_numpy().astype(float), neighbours)
+    learnt = docs.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = learnt.mapInArrow(run, schema).toArrow().sort_by("doc_id")
+    model = Model(idf, np.zeros((TERMS, 1)), np.zeros((0, 1)), rows["y"].to_numpy().astype(float), neighbours)
     if rows.num_rows:
         counted = [tuple(np.array(column[i].values) for column in (rows["terms"], rows["counts"])) for i in range(rows.num_rows)]
-        x = model.rows(counted)
-        values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
+        x = np.zeros((len(counted), TERMS))
+        of, terms, weight = model.weighted(counted)
+        x[of, terms] = weight
+        values, vectors = np.linalg.eigh(x @ x.T)
         top = np.argsort(-values)[:rank]
         top = top[values[top] > 1e-9]
-        model.axes = ((x.T @ vectors[:, top]) / np.sqrt(values[top])).astype(np.float32)
+        model.axes = (x.T @ vectors[:, top]) / np.sqrt(values[top])
         model.vectors = model.latent(counted)
     return model
 
