@@ -6,13 +6,13 @@ the counts of all documents (each counts a word once). The word, its first four
 hash buckets of a fixed number; a word scores the best lower bound of its three, or a small
 negative drift. A linear-time scan (Ruzzo and Tompa, 1999) finds all maximal scoring segments of
 a text. A segment's expected number by chance is K n exp(-lambda S) (Karlin and Altschul, 1990),
-lambda being solved from the score distribution of clean text; the significant ones are the
-toxic passages. A document's statistic is the sum of their normalised scores, and a logistic
+lambda being solved from the score distribution of clean text and K set so that the segments found in the clean
+sample are as many as expected; the significant ones are the toxic passages. A document's statistic is the sum of their normalised scores, and a logistic
 curve fitted on the training sample's statistics calibrates it.
 
 Labels, language, source and ids are never inputs of a score. Defined results: null and empty
-texts have no passage and get the score of none; ties between segments keep text order; repeated
-rows score alike; an empty table gives no rows; without both labels in the sample all score the
+texts have no passage and get the score of none; a very long text is scanned whole; segments that tie keep text order;
+repeated rows score alike; every row of a labelled id is learnt from; an empty table gives no rows; without both labels in the sample all score the
 sample's toxic share (0.5 without any); other columns are not read.
 """
 
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.lineage import ensure_checkpoint_dir
 from lumenframe.llm.held_out import held_out, training_sample
 from lumenframe.llm.words import alnum_words, id_and_text
 
@@ -39,8 +40,8 @@ PRIOR = 2000.0
 #: Standard deviations below an estimate at which a word is scored, and the lowest score that counts.
 BELOW, LEAST = 2.0, 1.0
 DRIFT = 0.5
-#: Karlin and Altschul's K for sparse positive scores, and the expected number that is significant.
-K, SIGNIFICANT = 0.1, 0.05
+#: The expected number by chance from which down a segment is significant.
+SIGNIFICANT = 0.05
 MOST_WORDS = 300_000
 
 
@@ -81,6 +82,7 @@ class Model:
 
     bucket_scores: np.ndarray
     decay: float
+    k: float = 1.0
     slope: float = 0.0
     offset: float = 0.0
     known: dict[bytes, float] = field(default_factory=dict, repr=False)
@@ -95,16 +97,16 @@ class Model:
             known[word] = float(best) if best >= LEAST else -DRIFT
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
+    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """How many words a text has, and its maximal segments."""
+        words = alnum_words(text)
+        return len(words), segments(self.word_scores(words))
+
     def passages(self, text: str | None) -> list[tuple[int, int, float, float]]:
         """Significant segments of words: (start, end, score, expected number by chance)."""
-        words = alnum_words(text)
-        if not words:
-            return []
-        scores = self.word_scores(words)
-        if scores.max() <= 0:
-            return []
-        found = [(s, e, x, K * len(words) * float(np.exp(-self.decay * x))) for s, e, x in segments(scores)]
-        return [f for f in found if f[3] <= SIGNIFICANT]
+        n, found = self.segments(text)
+        expected = [(s, e, x, self.k * n * float(np.exp(-self.decay * x))) for s, e, x in found]
+        return [f for f in expected if f[3] <= SIGNIFICANT]
 
     def statistic(self, passages: list[tuple[int, int, float, float]]) -> float:
         """Sum of -ln of the chance of each passage (Gumbel), 0 where there is none."""
@@ -179,13 +181,13 @@ def decay_of(scores: np.ndarray, counts: np.ndarray, prior: float = PRIOR) -> fl
     return low
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and offset by Newton's method; each point counts ``n`` times."""
     a = np.stack([x, np.ones_like(x)], axis=1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (n * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -194,15 +196,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Learns from at most ``per_label`` documents of each label; the prior is of all documents."""
+    ensure_checkpoint_dir(docs.sparkSession)
     chosen = training_sample(labels, "toxic", per_label)
     sample = {r["doc_id"]: r["y"] for r in chosen.collect()}
     toxic = sum(sample.values())
     if not 0 < toxic < len(sample):
         share = np.clip(toxic / len(sample), 1e-6, 1 - 1e-6) if sample else 0.5
-        return Model(np.full((3, BUCKETS), -DRIFT, np.float32), 1.0, 0.0, float(np.log(share / (1 - share))))
+        return Model(np.full((3, BUCKETS), -DRIFT, np.float32), 1.0, offset=float(np.log(share / (1 - share))))
     counts = bucket_counts(docs, sample)
     scores = log_odds(counts)
     model = Model(scores, decay_of(scores, counts))
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("y", "text").checkpoint()
+    model.k = _chance(model, texts.filter("y = 0"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,12 +215,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
             x = [sent.value.statistic(sent.value.passages(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], names=["y", "x"])
 
-    only = docs.join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(run, "y int, x double").collect()
-    y, x = np.array([r["y"] for r in only], float), np.array([r["x"] for r in only])
-    model.slope, model.offset = _logistic(np.log1p(x), y)
+    # Two numbers for each row of a labelled id, so that a repeated id weighs as often as it stands; counted by value first.
+    only = texts.mapInArrow(run, "y int, x double").groupBy("y", F.round("x", 3).alias("x")).agg(F.count("*").alias("n")).collect()
+    y, x, n = (np.array([r[k] for r in only], float) for k in "yxn")
+    model.slope, model.offset = _logistic(np.log1p(x), y, n)
     return model
 
 
+def _chance(model: Model, clean: DataFrame) -> float:
+    """Karlin and Altschul's K: as many segments of ``LEAST`` or more by chance as the clean sample has."""
+    sent = clean.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sent.value.segments(t) for t in batch.column(1).to_pylist()]
+            rows = [[n for n, _ in found], [sum(x >= LEAST for *_, x in s) for _, s in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["n_words", "n_segments"])
+
+    words, found = clean.mapInArrow(run, "n_words long, n_segments long").agg(F.sum("n_words"), F.sum("n_segments")).first()
+    return ((found or 0) + 0.5) * float(np.exp(model.decay * LEAST)) / ((words or 0) + 1)
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """(doc_id, held_out, score, passages): one row per row of ``docs``; passages are spans of words."""
     rows = id_and_text(docs, id_col, text_col)
