@@ -8,8 +8,8 @@ merged and removed. A line that goes always has an equal line at an earlier plac
 copy of everything stays.
 
 Defined results: null and empty texts come back as they are; texts of one or two lines have no
-window and stay; null ids sort first; rows repeated with equal id and text are one occurrence
-and all stay or change alike; an empty table gives no rows; other columns pass through
+window and stay; a very long text is cut and hashed whole, and put together again in one task; null ids sort first; rows
+repeated with equal id and text are one occurrence and all stay or change alike; an empty table gives no rows; other columns pass through
 ``dedup_documents`` untouched, whatever their names.
 """
 
@@ -73,11 +73,14 @@ def _without(text: str, gone: set[int]) -> str:
     return "\n".join(kept)
 
 
-def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with the text shortened, and ``lines_removed``; all rows and other columns stay.
+def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, count_col: str | None = "lines_removed") -> DataFrame:
+    """``docs`` with the text shortened; all rows and other columns stay. ``count_col`` is added with the
+    number of lines removed (None: no such column), with underscores behind its name where ``docs`` has that already.
 
-    A column of ``docs`` named lines_removed is replaced. Only texts that change go through Python.
+    Only texts that change go through Python.
     """
+    while count_col and count_col.lower() in {c.lower() for c in docs.columns}:
+        count_col += "_"
     text = F.col(quoted(text_col))
     whole = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.xxhash64(text).alias("t1"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc"))
     gone = removed_lines(id_and_text(docs, id_col, text_col), window)
@@ -88,6 +91,6 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fields = [
         (F.when(changed, F.col("new")).otherwise(F.col("doc")[c]) if c == text_col else F.col("doc")[c]).alias(c)
         for c in docs.columns
-        if c != "lines_removed"
     ]
-    return both.select(*fields, F.when(changed, F.size("gone")).otherwise(0).cast("long").alias("lines_removed"))
+    count = [F.when(changed, F.size("gone")).otherwise(0).cast("long").alias(count_col)] if count_col else []
+    return both.select(*fields, *count)
