@@ -8,22 +8,28 @@ SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _OP1 = f"""
 WITH said AS (
-  SELECT DISTINCT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS role, coalesce(text, '') AS text,
-         coalesce(turn // {PART_TURNS}, -1)::BIGINT AS part
-  FROM conversations),
+  SELECT *, md5(role || chr(10) || text) AS hash FROM (
+    SELECT DISTINCT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS role, coalesce(text, '') AS text,
+           coalesce(turn // {PART_TURNS}, -1)::BIGINT AS part
+    FROM conversations)),
+numbered AS (SELECT DISTINCT conv_id, part, turn, count(*) OVER (PARTITION BY conv_id, turn) AS n, count(*) OVER (PARTITION BY conv_id, part) AS total FROM said),
+began AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM numbered),
+cut AS (
+  SELECT said.*, CASE WHEN total > {PART_TURNS} THEN ((start + floor(('0x' || hash[1:8])::BIGINT / 4294967296.0::DOUBLE * n)) // {PART_TURNS})::BIGINT ELSE 0 END AS piece
+  FROM said JOIN began ON said.conv_id IS NOT DISTINCT FROM began.conv_id AND said.turn IS NOT DISTINCT FROM began.turn),
 speakers AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM said WHERE role <> 'system'),
 each AS (
-  SELECT conv_id, speaker, part, role = speaker AS own,
+  SELECT conv_id, speaker, part, piece, role = speaker AS own,
          '{START}' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
          text || '{END}' AS body,
-         row_number() OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text) AS k
-  FROM said JOIN speakers ON conv_id IS NOT DISTINCT FROM c),
+         row_number() OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY turn NULLS FIRST, hash) AS k
+  FROM cut JOIN speakers ON conv_id IS NOT DISTINCT FROM c),
 placed AS (
-  SELECT *, sum(length(head || body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY k) - length(body) AS pos FROM each)
-SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || body, '' ORDER BY k) AS text,
+  SELECT *, sum(length(head || body)) OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY k) - length(body) AS pos FROM each)
+SELECT conv_id, speaker, part, piece, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || body, '' ORDER BY k) AS text,
        string_agg(CASE WHEN own THEN '1' ELSE '0' END, '' ORDER BY k) AS mask,
        coalesce(string_agg(pos::BIGINT || '-' || (pos + length(body) - 1)::BIGINT, ',' ORDER BY k) FILTER (own), '') AS spans
-FROM placed GROUP BY conv_id, speaker, part"""
+FROM placed GROUP BY conv_id, speaker, part, piece"""
 
 _OP2 = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {SPACE_WORDS} AS words FROM documents),
@@ -75,6 +81,28 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM d LEFT JOIN spot USING (doc_id) LEFT JOIN item USING (doc_id)"""
 
+# CRC-32 byte by byte over its table, and the published jump generator modulo 2 ** 64. Slots follow (id, size, checksum):
+# tables of up to 160,000 distinct rows, to which this SQL is held, have one bin.
+_OP8 = """
+WITH RECURSIVE bit(n, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS t FROM bit WHERE k = 8),
+byte AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+d AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS text_crc32
+  FROM byte, tab),
+jump(id, key, b) AS (
+  SELECT DISTINCT doc_id, ((coalesce(doc_id, 0)::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT)::UHUGEINT, 0::BIGINT FROM documents
+  UNION ALL
+  SELECT id, next, floor((b + 1)::DOUBLE * (2147483648.0::DOUBLE / ((next // 8589934592::UHUGEINT)::DOUBLE + 1)))::BIGINT FROM (
+    SELECT id, b, (key * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS next FROM jump WHERE b < 9)),
+shard AS (SELECT id, (max(b) FILTER (b < 8))::INT AS shard, (max(b) FILTER (b < 9))::INT AS grown_shard FROM jump GROUP BY id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM d JOIN shard ON doc_id IS NOT DISTINCT FROM id"""
+
 _OP9 = rf"""
 WITH d AS (SELECT doc_id, {SPACE_WORDS} AS words FROM documents),
 win AS (
@@ -112,6 +140,7 @@ SQL = {
     "op1_perspective_rotation": _OP1,
     "op2_quality_rules": _OP2,
     "op6_decontaminate": _OP6,
+    "op8_jump_sharding": _OP8,
     "op9_suffix_dedup": _OP9,
     "op10_line_dedup": _OP10,
 }

@@ -6,7 +6,8 @@ Ablations (what a policy would keep without one of its rules) come from counts o
 bit patterns, so no text is read again.
 
 Defined results: a null text has no words and fails ``too_few_words``; an empty text likewise;
-repeated rows and ties are measured row by row; an empty table gives an empty ledger; columns
+a very long text is measured whole, its characters a piece at a time; repeated rows and ties are
+measured row by row; an empty table gives an empty ledger; columns
 other than the id and the text are not read by the ledger, and ``keep_documents`` returns them
 untouched, whatever their names.
 """

@@ -30,7 +30,9 @@ def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(documents(spark, sf_dir)), "v1")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.policy_mask("base"))) != 0
-    return rows.select("doc_id", *quality_rules.MEASURES, "fail_bits", base.alias("base_failed"), "kept")
+    first = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    more = [m for m in quality_rules.MEASURES if m not in first]
+    return rows.select("doc_id", *first, base.alias("base_failed"), "kept", *more, "fail_bits")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

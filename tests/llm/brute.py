@@ -138,7 +138,7 @@ def perspectives(turns):
     for c, said in by.items():
         for who in {r for _, r, _ in said} - {"system"}:
             text = mask = ""
-            for _, r, t in sorted(said):
+            for _, r, t in sorted(said, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5(f"{x[1]}\n{x[2]}".encode()).hexdigest())):
                 head = "assistant" if r == who else "system" if r == "system" else f"user name={r}"
                 text += f"<|start|>{head}\n{t}<|end|>\n"
                 mask += str(int(r == who))

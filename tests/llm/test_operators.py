@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -258,6 +259,24 @@ def test_jump_sharding(spark, small, awkward, empty):
     assert sharding.assign(empty, 8).count() == 0
 
 
+def test_sharding_of_many_equal_rows_and_other_ids(spark):
+    """One row repeated past several pieces, ids that are texts, null ids."""
+    docs = spark.range(20_000).select(F.lit("same").alias("doc_id"), F.lit("text").alias("text"))
+    docs = docs.union(spark.createDataFrame([("12", "a"), ("x y", None), (None, "b"), (None, None)], "doc_id string, text string"))
+    rows = sharding.assign(docs, 8, piece_rows=64).collect()
+    assert len(rows) == 20_004
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        if r["doc_id"] is None:
+            assert r["shard"] == jump_hash(0, 8)
+        assert r["grown_shard"] in (r["shard"], 8)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r["shard"] for r in rows if r["doc_id"] == "same"}) == 1
+    for kind in ("int", "decimal(9,2)", "date"):
+        assert sharding.assign(spark.range(3).select(F.lit(None).cast(kind).alias("doc_id"), F.lit("t").alias("text"))).count() == 3
+
+
 @pytest.mark.parametrize("shards", [1, 2, 47, 48, 49, 300])
 def test_jump_hash_of_many_shards(spark, shards):
     keys = [0, 1, -1, 2**63 - 1, -(2**63), *[random.Random(7).getrandbits(62) for _ in range(60)]]
@@ -318,7 +337,7 @@ def test_perspectives(spark, empty):
         assert all(e.endswith("<|end|>") for e in ends) and len(r["spans"]) == r["mask"].count("1") == r["n_own"]
     parted = chat_format.perspectives(df, part_turns=2).collect()
     joined = {}
-    for r in sorted(parted, key=lambda r: r["part"]):
+    for r in sorted(parted, key=lambda r: (r["part"], r["piece"])):
         key = r["conv_id"], r["speaker"]
         joined[key] = joined.get(key, "") + r["text"]
     assert joined == {k: t for k, (t, _) in want.items()}
@@ -327,6 +346,20 @@ def test_perspectives(spark, empty):
     assert chat_format.perspectives(loose).count() == 4
 
 
+def test_hot_parts_of_conversations(spark):
+    """A third of all rows under one turn number, others under none, one very long text: pieces stay small and whole."""
+    draw = random.Random(4)
+    turns = [(None, 7, draw.choice("ab"), f"same number {i}") for i in range(700)] + [(1, None, draw.choice("ab"), f"no number {i}") for i in range(300)]
+    turns += [(2, i, "a", f"turn {i}") for i in range(90)] + [(2, 5, "b", "x" * 100_000)] + [(2, 6, "a", "again")] * 50
+    rows = chat_format.perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), part_turns=16).collect()
+    joined = {}
+    for r in sorted(rows, key=lambda r: (r["part"], r["piece"])):
+        text, mask = joined.get((r["conv_id"], r["speaker"]), ("", ""))
+        joined[r["conv_id"], r["speaker"]] = text + r["text"], mask + r["mask"]
+    assert joined == perspectives(turns)
+    assert max(r["n_turns"] for r in rows) <= 40 and sum(r["piece"] > 0 for r in rows) > 50
+
+
 def brute_segments(scores):
     """Maximal segments by their recursive definition: the best run, then both sides of it."""
     best, where = 0.0, None
@@ -351,6 +384,170 @@ def test_maximal_segments():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_nearest_takes_the_first_of_equals():
+    draw = np.random.default_rng(3)
+    cosines = draw.integers(0, 4, (200, 40)) / 4
+    for k in (1, 7, 40):
+        want = [sorted(sorted(range(40), key=lambda j: (-row[j], j))[:k]) for row in cosines]
+        assert quality_knn.nearest(cosines, k).tolist() == want
+
+
+def brute_bag(text, model):
+    """A document's weighted terms, from their definition, as a plain dictionary."""
+    import xxhash
+
+    found = {}
+    for word in space_words(text):
+        raw = word.encode()
+        kinds = "".join("A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" or ord(c) > 127 else "0" if "0" <= c <= "9" else c for c in raw.decode("latin-1"))
+        runs = "".join(c for i, c in enumerate(kinds) if not i or kinds[i - 1] != c)
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+        for term in (xxhash.xxh3_64_intdigest(low) % 4096, 4096 + xxhash.xxh3_64_intdigest(runs.encode("latin-1")) % 1024):
+            found[term] = found.get(term, 0) + 1
+    for term in quality_knn.level_terms(quality_rules.measure(text)):
+        found[5120 + term] = 1
+    out = {t: (1 + math.log(n)) * model.idf[t] for t, n in found.items()}
+    for low, high, weight in ((0, 4096, 0.4), (4096, 5120, 1.0), (5120, 5632, 1.2)):
+        size = math.sqrt(sum(v * v for t, v in out.items() if low <= t < high))
+        out |= {t: v * weight / size for t, v in out.items() if low <= t < high}
+    return out
+
+
+def test_quality_query_against_brute_force(spark, small):
+    """Every score of the query from plain cosines and votes; document frequencies and latent space too."""
+    got = {r["doc_id"]: r["score"] for r in registry.op4_quality_knn(spark, SMALL).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    model = quality_knn.fit(words.documents(spark, SMALL), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    texts = dict(small)
+    sample = sorted(d for d, y in labels.items() if d in texts and y in (0, 1) and crc(str(d)) % 5)
+    assert [labels[d] for d in sample] == model.labels.tolist()
+    df = np.zeros(quality_knn.TERMS)
+    terms = quality_knn.Terms()
+    for _, t in small:
+        df[terms.count(t)[0]] += 1
+    assert np.allclose(model.idf, np.log((1 + len(small)) / (1 + df)) + 1)
+    x = np.zeros((len(sample), quality_knn.TERMS))
+    for i, d in enumerate(sample):
+        for term, v in brute_bag(texts[d], model).items():
+            x[i, term] = v
+    _, values, axes = np.linalg.svd(x, full_matrices=False)
+    axes = axes[: min(quality_knn.RANK, (values > 1e-4).sum())].T
+    unit = lambda z: z / np.linalg.norm(z, axis=-1, keepdims=True)
+    sampled = unit(x @ axes)
+    for d, t in small:
+        row = np.zeros(quality_knn.TERMS)
+        for term, v in brute_bag(t, model).items():
+            row[term] = v
+        counted = [terms.count(t)]
+        whole = [int(v) for v in model.latent(counted)[0]]
+        exact = [sum(a * int(b) for a, b in zip(whole, v)) / quality_knn.ONE**2 for v in model.vectors]
+        assert np.abs(np.array(exact) - sampled @ unit(row @ axes)).max() < 1e-5
+        near = sorted(range(len(sample)), key=lambda j: (-exact[j], j))[: quality_knn.NEIGHBOURS]
+        weights = [max(exact[j], 1e-6) ** 4 for j in near]
+        want = sum(w * labels[sample[j]] for w, j in zip(weights, near)) / sum(weights)
+        assert abs(got[d] - want) < 1e-12
+
+
+def test_quality_scores_do_not_hang_on_blocks(spark, small, monkeypatch):
+    model = quality_knn.fit(words.documents(spark, SMALL), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    terms = quality_knn.Terms()
+    counted = [terms.count(t) for _, t in small]
+    whole = model.score(counted).tolist()
+    monkeypatch.setattr(quality_knn, "BLOCK", 7)
+    monkeypatch.setattr(quality_knn, "GATHER", 500)
+    assert model.score(counted).tolist() == whole == [float(model.score([c])[0]) for c in counted]
+
+
+def test_quality_of_repeated_ids(spark):
+    """The smallest text under a labelled id is learnt from, in whatever order rows come."""
+    rows = [(i, f"text {i} {'good words ' * 9 if i % 2 else '# $ %'}") for i in range(40)] + [(1, "zz other"), (2, "aa other"), (2, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    runs = []
+    for order in (rows, rows[::-1]):
+        found = quality_knn.score(spark.createDataFrame(order, "doc_id long, text string"), labels).collect()
+        runs.append(sorted((r["doc_id"], r["score"]) for r in found))
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+
+
+def test_toxicity_query_against_brute_force(spark, small):
+    """Every score of the query from plain counts, recursive segments and a plain logistic fit."""
+    import xxhash
+
+    got = {r["doc_id"]: r["score"] for r in registry.op5_toxic_segments(spark, SMALL).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    sample = {d: labels[d] for d, _ in small if labels.get(d) in (0, 1) and crc(str(d)) % 5}
+    size, m = toxic_segments.BUCKETS, toxic_segments
+    keys = lambda w: [(0, xxhash.xxh3_64_intdigest(w, 1) % size), (1, xxhash.xxh3_64_intdigest(w[:4], 4) % size), (2, xxhash.xxh3_64_intdigest(w[:5], 5) % size)]
+    counts = [{}, {}, {}]
+    for d, t in small:
+        for w in {w.encode() for w in alnum_words(t)}:
+            for k in keys(w):
+                for which in (0, *([1 + sample[d]] if d in sample else [])):
+                    counts[which][k] = counts[which].get(k, 0) + 1
+    sums = [[sum(n for (f, _), n in c.items() if f == kind) for c in counts] for kind in range(3)]
+    everywhere = [sums[k][0] + 0.01 * size for k in range(3)]
+
+    def bucket_score(k):
+        kind, (corpus, clean, toxic) = k[0], (c.get(k, 0) for c in counts)
+        if toxic < 2:
+            return -m.DRIFT
+        alpha = m.PRIOR * (corpus + 0.01) / everywhere[kind]
+        t, c, all_t, all_c = toxic + alpha, clean + alpha, sums[kind][2] + m.PRIOR, sums[kind][1] + m.PRIOR
+        return min(8, math.log(t / (all_t - t)) - math.log(c / (all_c - c)) - m.BELOW * math.sqrt(1 / t + 1 / c))
+
+    def word_score(w):
+        best = max(map(bucket_score, keys(w.encode())))
+        return best if best >= m.LEAST else -m.DRIFT
+
+    spread = {}
+    for k in counts[0]:
+        if k[0] == 0:
+            s = bucket_score(k)
+            s = round(s, 12) if s >= m.LEAST else -m.DRIFT
+            spread[s] = spread.get(s, 0) + counts[1].get(k, 0) + m.PRIOR * (counts[0][k] + 0.01) / everywhere[0]
+    empty = size - sum(k[0] == 0 for k in counts[0])
+    spread[-m.DRIFT] = spread.get(-m.DRIFT, 0) + empty * m.PRIOR * 0.01 / everywhere[0]
+    total, low, high = sum(spread.values()), 1e-4, 5.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(p / total * math.exp(mid * s) for s, p in spread.items()) < 1 else (low, mid)
+    found = {}
+    for d, t in small:
+        scores = [word_score(w) for w in alnum_words(t)]
+        where = [i for i, s in enumerate(scores) if s > 0]
+        # Far apart positive words cannot share a segment, so the recursion looks at runs of them.
+        runs, reach = [], 0.0
+        for i in where:
+            if runs and (i - runs[-1][1] - 1) * m.DRIFT < reach:
+                reach -= (i - runs[-1][1] - 1) * m.DRIFT
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+                reach = 0.0
+            reach += scores[i]
+        found[d] = len(scores), [(a + x, a + y, s) for a, b in runs for x, y, s in brute_segments(np.array(scores[a : b + 1]))]
+    clean = [d for d, y in sample.items() if not y]
+    k = (sum(s >= m.LEAST for d in clean for *_, s in found[d][1]) + 0.5) * math.exp(low * m.LEAST) / (sum(found[d][0] for d in clean) + 1)
+
+    def statistic(d):
+        n, segments = found[d]
+        expected = [k * n * math.exp(-low * s) for *_, s in segments]
+        return sum(-math.log(-math.expm1(-e)) if e > 1e-12 else -math.log(max(e, 1e-300)) for e in expected if e <= m.SIGNIFICANT)
+
+    points = [(math.log1p(round(statistic(d), 3)), y) for d, y in sample.items()]
+    w = np.zeros(2)
+    for _ in range(50):
+        slope = np.zeros(2) - 1e-3 * w
+        bend = 1e-3 * np.eye(2)
+        for x, y in points:
+            p, v = 1 / (1 + math.exp(-max(-30, min(30, w[0] * x + w[1])))), np.array([x, 1.0])
+            slope, bend = slope + v * (y - p), bend + p * (1 - p) * np.outer(v, v)
+        w = w + np.linalg.solve(bend, slope)
+    for d, _ in small:
+        want = 1 / (1 + math.exp(-max(-30, min(30, w[0] * math.log1p(statistic(d)) + w[1]))))
+        assert abs(got[d] - want) < 1e-3, d
+
+
 def _accuracy(spark, rows, label, at):
     labels = {r["doc_id"]: r[label] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
