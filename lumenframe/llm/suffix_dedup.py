@@ -52,6 +52,8 @@ from lumenframe.llm.words import counted_apart, id_and_text, space_words
 
 MIN_WORDS = 50
 GRAM = 16
+#: Documents whose cells are merged at a time.
+DOCUMENTS = 512
 #: Odd multipliers of the two rolling hashes.
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -275,24 +277,32 @@ def _merged(rows: DataFrame, min_words: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words int, spans {span}, removed {span}, first_ids array<{kind}>"
 
+    def flat(lists: pa.ListArray) -> tuple[list[int], pa.StructArray]:
+        ends = lists.offsets.to_numpy()
+        return (ends - ends[0]).tolist(), lists.flatten()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                both, gone, ids = [], [], set()
-                for cell in found:
-                    for mask in cell["masks"]:
-                        lowest, bits = mask["lowest"], mask["mask"]
-                        spans = lambda x, at=cell["first"]: [(at + i, at + j + min_words) for i, j in _runs(x)]
-                        both += spans(bits)
-                        gone += spans(bits if lowest is not None and lowest != doc else cell["again"] & bits)
-                        ids.add(lowest)
-                out.append((_touching(both), _touching(gone), sorted(ids - {None}) + [None] * (None in ids)))
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*out) if out else ([], [], []), arrow[2:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "n_words", "spans", "removed", "first_ids"])
+        for whole in batches:
+            for batch in (whole.slice(at, DOCUMENTS) for at in range(0, whole.num_rows, DOCUMENTS)):
+                cells_of, found = flat(batch.column(2))
+                masks_of, masks = flat(found.field("masks"))
+                firsts, agains = (found.field(k).to_pylist() for k in ("first", "again"))
+                lowests, bits = (masks.field(k).to_pylist() for k in ("lowest", "mask"))
+                out: list[tuple] = []
+                for i, doc in enumerate(batch.column(0).to_pylist()):
+                    both, gone = [], []
+                    for cell in range(cells_of[i], cells_of[i + 1]):
+                        for k in range(masks_of[cell], masks_of[cell + 1]):
+                            later = bits[k] if lowests[k] is not None and lowests[k] != doc else agains[cell] & bits[k]
+                            both += [(firsts[cell] + x, firsts[cell] + y + min_words) for x, y in _runs(bits[k])]
+                            gone += [(firsts[cell] + x, firsts[cell] + y + min_words) for x, y in _runs(later)]
+                    ids = set(lowests[masks_of[cells_of[i]] : masks_of[cells_of[i + 1]]])
+                    out.append((_touching(both), _touching(gone), sorted(ids - {None}) + [None] * (None in ids)))
+                columns = [pa.array(list(c), k) for c, k in zip(zip(*out), arrow)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "n_words", "spans", "removed", "first_ids"])
 
     spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    arrow = [None, None, spans_kind, spans_kind, pa.list_(to_arrow_type(rows.schema["doc_id"].dataType))]
+    arrow = [spans_kind, spans_kind, pa.list_(to_arrow_type(rows.schema["doc_id"].dataType))]
     return rows.mapInArrow(run, schema)
 
 
