@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,9 +87,16 @@ def canonical_set(items: Column, table: dict[str, str]) -> Column:
     return F.array_sort(F.array_distinct(F.transform(named, lambda x: canonical(x, table))))
 
 
+def title_case(text: Column) -> Column:
+    """The first letter of each run of letters in upper case, the others in lower."""
+    letters = F.split(F.lower(text), "")
+    return F.array_join(F.transform(letters, lambda c, i: F.when((i == 0) | ~F.element_at(letters, F.greatest(i, F.lit(1))).rlike(r"\p{L}"), F.upper(c)).otherwise(c)), "")
+
+
 def with_case_of(word: Column, corrected: Column) -> Column:
-    """``corrected`` in upper case where ``word`` is, else as it is (O2; title case is the UDF's part)."""
-    return F.when((word == F.upper(word)) & (word != F.lower(word)), F.upper(corrected)).otherwise(corrected)
+    """``corrected`` in upper case where ``word`` is, in title case where each of its runs of letters is, else as it is (O2)."""
+    titled = word.rlike(r"^(?:[^\p{L}]*(?<!\p{L})\p{Lu}\p{Ll}*)+[^\p{L}]*$")
+    return F.when((word == F.upper(word)) & (word != F.lower(word)), F.upper(corrected)).when(titled, title_case(corrected)).otherwise(corrected)
 
 
 def strict_text(text: Column) -> Column:
@@ -95,14 +104,19 @@ def strict_text(text: Column) -> Column:
     return stripped(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
-#: Latin letters with marks, and the letters left when the marks go.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _unmarked(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
 def lenient_text(text: Column) -> Column:
-    """Marks of Latin letters stripped, lower-cased, white space collapsed."""
-    return strict_text(F.lower(F.translate(F.coalesce(text, F.lit("")), ACCENTED, PLAIN)))
+    """Compatibility forms taken apart and marks stripped (NFKD), lower-cased, white space collapsed.
+
+    Texts of ASCII have nothing to take apart: only others go through Python.
+    """
+    text = F.coalesce(text, F.lit(""))
+    beyond = text.rlike(r"[^\x00-\x7F]")
+    plain = F.when(beyond, F.pandas_udf(_unmarked, "string")(F.when(beyond, text))).otherwise(text)
+    return strict_text(F.lower(plain))
 
 
 def entity_text(text: Column) -> Column:

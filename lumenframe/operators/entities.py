@@ -158,17 +158,30 @@ def _candidates(word: str, dictionary: frozenset[str]) -> set[str]:
     return one & dictionary or {e for o in one for e in _edits(o)} & dictionary
 
 
-def correct_text(words: frozenset[str] | None) -> Callable[[pd.Series], pd.Series]:
-    """Texts with each word corrected and tokens joined by one space (O4); as they are without a dictionary."""
-    import re
+#: Tokens of a text to correct: words with hyphens and apostrophes, or one sign.
+TOKEN = r"(?U)[\w'’-]+|[^\s\w]"
 
-    token = re.compile(r"[\w'-]+|[^\s\w]")
 
-    def run(texts: pd.Series) -> pd.Series:
-        if words is None:
-            return texts
-        return texts.map(lambda t: t if not t else " ".join(correct_word(x, words) if x[0].isalnum() or x[0] in "_'-" else x for x in token.findall(t)))
+def corrected_text(texts: DataFrame, dictionary: frozenset[str] | None, key: str = "video_id", column: str = "text") -> DataFrame:
+    """(key, corrected): each word corrected and tokens joined by one space (O4); as they are without a dictionary.
 
+    Distinct words are corrected once. The dictionary is a stated word list, sent to every task.
+    """
+    if dictionary is None:
+        return texts.select(key, F.col(column).alias("corrected"))
+    tokens = texts.select(key, F.posexplode(F.regexp_extract_all(F.col(column), F.lit(TOKEN), 0)).alias("at", "token"))
+    fix = F.pandas_udf(_corrector(dictionary), "string")
+    fixed = tokens.select("token").distinct().filter(F.col("token").rlike(r"(?U)\w")).withColumn("new", fix("token"))
+    both = tokens.join(fixed, "token", "left").withColumn("token", F.coalesce("new", "token"))
+    joined = both.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ").alias("corrected"))
+    return texts.select(key, column).join(joined, key, "left").select(key, F.coalesce("corrected", F.col(column)).alias("corrected"))
+
+
+def _corrector(dictionary: frozenset[str]) -> Callable[[pd.Series], pd.Series]:
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: correct_word(w, dictionary))
+
+    run.__annotations__ = {"words": pd.Series, "return": pd.Series}
     return run
 
 
@@ -179,14 +192,39 @@ def forced_corrections(word: Column) -> Column:
     return F.when(F.length(word) < 3, word).when(forced.isNotNull(), text.with_case_of(word, forced)).otherwise(word)
 
 
+def alignment_distance(a: str, b: str) -> int:
+    """Edits with swaps of neighbouring letters, none edited twice (optimal string alignment)."""
+    two, one = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            best = min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, two[j - 2] + 1)
+            row.append(best)
+        two, one = one, row
+    return one[-1]
+
+
+def _swapped_near(tokens: pd.Series, terms: pd.Series) -> pd.Series:
+    return pd.Series([t is not None and any(alignment_distance(t, d) <= 2 for d in ds) for t, ds in zip(tokens, terms)], dtype=bool)
+
+
 def gate_skips(token: Column) -> Column:
     """Whether the frequency corrector leaves a token alone (O5): short, a year, digits, money, or
-    within two edits of a domain term. Edits are Levenshtein's here: a swap of two letters counts two."""
+    within two edits of a domain term, a swap of neighbouring letters being one edit.
+
+    A swap is two Levenshtein edits, so only terms three or four of those away need the other distance, and only
+    tokens without a nearer term.
+    """
     terms = F.array(*map(F.lit, lexicon.gate_words()))
     low = F.lower(token)
-    near = F.exists(terms, lambda d: F.levenshtein(low, d) <= 2)
     money = token.rlike(r"(?i)[$€¢£¥]|USD|COP|EUR|MXN")
-    return (F.length(token) < 3) | token.rlike("^(19|20)[0-9]{2}$") | token.rlike("^[0-9]+$") | money | near
+    plain = (F.length(token) < 3) | token.rlike("^(19|20)[0-9]{2}$") | token.rlike("^[0-9]+$") | money
+    plain = plain | F.exists(terms, lambda d: F.levenshtein(low, d, 2) >= 0)
+    further = F.filter(terms, lambda d: F.levenshtein(low, d, 4) >= 3)
+    swapped = F.pandas_udf(_swapped_near, "boolean")(F.when(~plain, low), F.when(~plain, further))
+    return plain | swapped
 
 
 def boosted(frequencies: DataFrame) -> DataFrame:

@@ -73,23 +73,30 @@ def edits(reference: Column, hypothesis: Column) -> tuple[Column, Column]:
     return F.levenshtein(reference, hypothesis), F.char_length(reference)
 
 
+#: Code points that letters may have: all but the surrogates, from the space on.
+LETTERS = 0x110000 - 0x800 - 0x20
+
+
 def _as_letters(words: Column, vocabulary: Column) -> Column:
-    """One character of the private planes per word, by its place in the pair's vocabulary."""
-    return F.array_join(F.transform(words, lambda w: F.substring(F.col("_alphabet"), F.array_position(vocabulary, w).cast("int"), F.lit(1))), "")
+    """One character per word, by its place in the pair's vocabulary."""
 
+    def letter(word: Column) -> Column:
+        point = F.array_position(vocabulary, word) + 0x1F
+        point = F.when(point < 0xD800, point).otherwise(point + 0x800)
+        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
-#: Distinct words that one pair may have to be compared by letters; Unicode's private areas have more.
-ALPHABET = "".join(map(chr, [*range(0xE000, 0xF900), *range(0xF0000, 0xF0000 + 60_000)]))
+    return F.array_join(F.transform(words, letter), "")
 
 
 def word_edits(reference: Column, hypothesis: Column) -> tuple[Column, Column]:
-    """Word edits and the reference's words, each distinct word being written as one letter.
+    """Word edits and the reference's words, each distinct word being written as one character.
 
-    Needs a column ``_alphabet`` (F.lit(ALPHABET)) beside the texts.
+    Any pair whose edits can be counted at all has fewer distinct words than there are characters; one of more raises.
     """
     r, h = (F.filter(F.split(x, " "), lambda w: w != "") for x in (reference, hypothesis))
     vocabulary = F.array_distinct(F.concat(r, h))
-    return F.levenshtein(_as_letters(r, vocabulary), _as_letters(h, vocabulary)), F.size(r)
+    edits_ = F.levenshtein(_as_letters(r, vocabulary), _as_letters(h, vocabulary))
+    return F.when(F.size(vocabulary) <= LETTERS, edits_).otherwise(F.raise_error(F.lit("more distinct words than characters")).cast("int")), F.size(r)
 
 
 def error_rates(pairs: DataFrame, reference: str = "truth", hypothesis: str = "predicted") -> DataFrame:
@@ -99,7 +106,7 @@ def error_rates(pairs: DataFrame, reference: str = "truth", hypothesis: str = "p
         F.struct(F.lit(name).alias("mode"), f(F.col(reference)).alias("r"), f(F.col(hypothesis)).alias("h"))
         for name, f in (("strict", text.strict_text), ("lenient", text.lenient_text))
     ])
-    each = rows.select(F.inline(modes)).withColumn("_alphabet", F.lit(ALPHABET))
+    each = rows.select(F.inline(modes))
     (ce, cn), (we, wn) = edits(F.col("r"), F.col("h")), word_edits(F.col("r"), F.col("h"))
     return each.groupBy("mode").agg(
         F.count("*").alias("n"), F.round(F.sum(ce) / F.sum(cn), 4).alias("cer"), F.round(F.sum(we) / F.sum(wn), 4).alias("wer")

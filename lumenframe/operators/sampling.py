@@ -12,7 +12,7 @@ def stratified(items: DataFrame, target: Column, per_stratum: int, seed: int = 4
     Raises where a stratum has fewer. Spark keeps only the first rows of each stratum before the
     shuffle, so a large one is never sorted whole.
     """
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws("#", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), F.col(key))
     chosen = items.filter(~target).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_stratum).drop("_k")
     short = items.filter(~target).groupBy(stratum).agg(F.count("*").alias("n")).filter(F.col("n") < per_stratum).limit(1).collect()
     if short:

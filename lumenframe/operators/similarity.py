@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenframe.functions import vectors
+from lumenframe.lineage import materialised
 from lumenframe.operators.ranking import spearman
 
 
@@ -66,49 +67,64 @@ def nearest_channels(emb: DataFrame, target: int | str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def top_neighbours(targets: DataFrame, peers: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+def top_neighbours(targets: DataFrame, peers: DataFrame, k: int = 5, block: int = 4096, splits: int | None = None) -> DataFrame:
     """The ``k`` peers of highest cosine of each target (J8, W2, T5): (target_video_id, rank,
     peer_channel, peer_video_id, cos). Equal cosines go by peer_video_id.
 
-    Targets are dealt into blocks, each of which is multiplied with every batch of peers; a task
-    keeps only the best ``k`` of what it has seen, so peers are read once per block and never paired.
+    Targets are dealt into blocks and peers into ``splits``; each block meets each split in one group of one
+    shuffle. A task holds a block as a matrix, streams the split past it and keeps the best ``k`` of each target, so no
+    pair is ever a row and nothing is collected.
     """
-    n_blocks = max(1, -(-targets.count() // block))
-    t = unit_vectors(targets).select("video_id", "embedding")
+    blocks = max(1, -(-targets.count() // block))
+    splits = splits or int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = unit_vectors(targets).select(F.lit(None).cast(peers.schema["channel"].dataType).alias("channel"), "video_id", "embedding")
     p = unit_vectors(peers).select("channel", "video_id", "embedding")
+    part = lambda n: F.pmod(F.xxhash64("video_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    t = t.select(part(blocks).alias("block"), each(splits).alias("split"), F.lit(0).alias("kind"), "*")
+    p = p.select(each(blocks).alias("block"), part(splits).alias("split"), F.lit(1).alias("kind"), "*")
     kinds = {f.name: f.dataType for f in p.schema.fields}
     schema = T.StructType([
-        T.StructField("target_video_id", t.schema["video_id"].dataType), T.StructField("peer_channel", kinds["channel"]),
+        T.StructField("target_video_id", kinds["video_id"]), T.StructField("peer_channel", kinds["channel"]),
         T.StructField("peer_video_id", kinds["video_id"]), T.StructField("cos", T.DoubleType()),
     ])
     arrow_kinds = [to_arrow_type(f.dataType) for f in schema.fields]
-    found = None
-    for number in range(n_blocks):
-        part = t if n_blocks == 1 else t.filter(F.pmod(F.xxhash64("video_id"), F.lit(n_blocks)) == number)
-        rows = part.collect()
-        sent = t.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            best = None
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                v = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                keys = batch.column(1).to_numpy(zero_copy_only=False)
-                new = (matrix @ v.T, np.broadcast_to(keys, (len(ids), len(keys))), np.broadcast_to(np.array(batch.column(0).to_pylist(), object), (len(ids), len(keys))))
-                both = new if best is None else tuple(np.concatenate([a, b], axis=1) for a, b in zip(best, new))
-                order = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
-                best = tuple(np.take_along_axis(x, order, axis=1) for x in both)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, rows, best = None, [], [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
             if best is not None:
                 width = best[0].shape[1]
                 columns = [np.repeat(np.array(ids, object), width).tolist(), best[2].ravel().tolist(), best[1].ravel().tolist(), best[0].ravel().tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, arrow_kinds)], names=schema.names)
 
-        one = p.mapInArrow(run, schema)
-        found = one if found is None else found.union(one)
+        for batch in batches:
+            at = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            edges = np.flatnonzero((np.diff(at, axis=0) != 0).any(axis=1)) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(at)]):
+                if start == end:
+                    continue
+                piece = batch.slice(start, end - start)
+                if tuple(at[start, :2]) != key:
+                    yield from close()
+                    key, ids, rows, best = tuple(at[start, :2]), [], [], None
+                vectors_ = piece.column(5).flatten().to_numpy(zero_copy_only=False).reshape(len(piece), -1)
+                names = np.array(piece.column(4).to_pylist())
+                if at[start, 2] == 0:
+                    ids += names.tolist()
+                    rows.append(vectors_)
+                elif ids:
+                    wide = (len(ids), len(piece))
+                    new = (np.concatenate(rows) @ vectors_.T, np.broadcast_to(names, wide), np.broadcast_to(np.array(piece.column(3).to_pylist(), object), wide))
+                    both = new if best is None else tuple(np.concatenate([a, b], axis=1) for a, b in zip(best, new))
+                    order = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
+                    best = tuple(np.take_along_axis(x, order, axis=1) for x in both)
+        yield from close()
+
+    dealt = t.union(p).repartition("block", "split").sortWithinPartitions("block", "split", "kind")
     order = Window.partitionBy("target_video_id").orderBy(F.col("cos").desc(), F.col("peer_video_id"))
-    ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+    ranked = dealt.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
     return ranked.select("target_video_id", "rank", "peer_channel", "peer_video_id", "cos")
 
 
@@ -126,17 +142,52 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return cos.agg(F.count("*").alias("n"), F.avg("cos").alias("mean_cos"), F.stddev_pop("cos").alias("std_cos"), F.min("cos").alias("min_cos"), F.max("cos").alias("max_cos"))
 
 
-def pairwise_spearman(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rank correlation of the two models' similarities over all pairs of rows (J10, A12): (n_pairs, rho).
+def pairwise_spearman(a: DataFrame, b: DataFrame, block: int = 512) -> DataFrame:
+    """Rank correlation of the two models' similarities over all pairs of rows (J10, A12, A13): (n_pairs, rho, p_value).
 
-    The result is of all pairs by definition, so this is for a stated set of items, not a whole corpus.
+    The result is of all pairs by definition, so this is for a stated set of items, not a whole corpus. Rows are
+    dealt into blocks; each two blocks meet once, as matrices.
     """
-    rows = aligned(a, b).select("video_id", "a", "b")
-    other = rows.select(F.col("video_id").alias("video_id2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    pairs = rows.join(other, F.col("video_id") < F.col("video_id2")).select(
-        F.lit(0).alias("g"), F.round(vectors.dot("a", "a2"), 9).alias("sim_a"), F.round(vectors.dot("b", "b2"), 9).alias("sim_b")
+    rows = materialised(aligned(a, b).select(F.xxhash64("channel", "video_id").alias("k"), "a", "b"))
+    blocks = max(1, -(-rows.count() // block))
+    mine = F.pmod("k", F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    met = rows.select(mine.alias("mine"), other, "a", "b").select(
+        F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "a", "b"
     )
-    return spearman(pairs, ["g"], "sim_a", "sim_b").select(F.col("n").alias("n_pairs"), "rho")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def pairs(left: list[np.ndarray], right: list[np.ndarray] | None) -> pa.RecordBatch:
+            upper = np.triu_indices(len(left[0]), 1)
+            sims = [(x @ x.T)[upper] for x in left] if right is None else [(x @ y.T).ravel() for x, y in zip(left, right)]
+            return pa.RecordBatch.from_arrays([pa.array(np.round(s, 9)) for s in sims], names=["sim_a", "sim_b"])
+
+        for batch in batches:
+            at = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            edges = np.flatnonzero((np.diff(at, axis=0) != 0).any(axis=1)) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(at)]):
+                if start == end:
+                    continue
+                piece = batch.slice(start, end - start)
+                new = [piece.column(i).flatten().to_numpy(zero_copy_only=False).reshape(len(piece), -1) for i in (3, 4)]
+                low, high, side = at[start].tolist()
+                if side == 0:
+                    if (low, high) != key:
+                        key, held = (low, high), None
+                    if low == high:
+                        # A block with itself: what has come before, and the new rows among themselves.
+                        if held is not None:
+                            yield pairs(held, new)
+                        yield pairs(new, None)
+                    held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+                elif (low, high) == key:
+                    yield pairs(held, new)
+
+    dealt = met.repartition("low", "high").sortWithinPartitions("low", "high", "side")
+    sims = dealt.mapInArrow(run, "sim_a double, sim_b double")
+    return spearman(sims, [], "sim_a", "sim_b").select(F.col("n").alias("n_pairs"), "rho", "p_value")
 
 
 def zero_shot(images: DataFrame, labels: DataFrame, temperature: float = 0.01) -> DataFrame:

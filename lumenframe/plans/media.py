@@ -56,7 +56,7 @@ def _visual_and_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spearman_visual_vs_perf(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _visual_and_performance(spark, sf_dir).withColumn("g", F.lit(0))
     rho = ranking.spearman(joined, ["g"], "cos", "organic_outlier_score")
-    return rho.select("n", "rho", scores.direction_verdict(F.col("rho")).alias("verdict"))
+    return rho.select("n", "rho", F.round("p_value", 6).alias("p_value"), scores.direction_verdict(F.col("rho")).alias("verdict"))
 
 
 def visual_performance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,11 @@ raw_c AS (SELECT channel, list(m ORDER BY pos) AS c FROM mean GROUP BY channel),
 cen AS (SELECT channel, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) AS c FROM raw_c),
 coss AS (SELECT channel, video_id, list_inner_product(u, c) AS cos FROM unit JOIN cen USING (channel))"""
 
+# Two-sided p of a rank correlation: the t distribution's middle as an integral of cos(x) ** (degrees - 1), by Simpson's rule.
+_P = """th AS (SELECT n, n - 2 AS dof, atan(abs(rho) * sqrt((n - 2) / (1 - rho * rho)) / sqrt(n - 2)) AS theta FROM c),
+pt AS (SELECT dof, theta, CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(cos(theta * k / 20000), dof - 1) AS f FROM th, (SELECT unnest(generate_series(0, 20000))::DOUBLE AS k)),
+pv AS (SELECT round(greatest(0, 1 - 2 / sqrt(pi()) * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) * theta / 60000 * sum(f)), 6) AS p_value FROM pt GROUP BY dof, theta)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -119,8 +124,8 @@ ORACLE_SQL = {
       (SELECT *, 'low' AS tail FROM s ORDER BY outlier_score, video_id LIMIT 5) UNION ALL (SELECT *, 'high' AS tail FROM s ORDER BY outlier_score DESC, video_id DESC LIMIT 5)""",
     "spearman_visual_vs_perf": f"""WITH {_ROI}, {_COS}, j AS (SELECT round(cos, 9) AS a, organic_outlier_score AS b FROM coss JOIN script USING (video_id)),
       r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM j),
-      c AS (SELECT count(*) AS n, corr(ra::DOUBLE, rb::DOUBLE) AS rho FROM r)
-      SELECT n, rho, CASE WHEN abs(rho) < 0.2 THEN 'uncorrelated' WHEN rho > 0 THEN 'typical_better' ELSE 'unusual_better' END AS verdict FROM c""",
+      c AS (SELECT count(*) AS n, corr(ra::DOUBLE, rb::DOUBLE) AS rho FROM r), {_P}
+      SELECT n, rho, p_value, CASE WHEN abs(rho) < 0.2 THEN 'uncorrelated' WHEN rho > 0 THEN 'typical_better' ELSE 'unusual_better' END AS verdict FROM c, pv""",
     "visual_performance_join": f"WITH {_ROI}, {_COS} SELECT video_id, round(cos, 9) AS cos, view_count, organic_views, organic_outlier_score FROM coss JOIN script USING (video_id)",
 }
-COS_SQL = _COS
+COS_SQL, P_SQL = _COS, _P

@@ -105,7 +105,8 @@ def array_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def busy_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.busy_time(tables.intervals(spark, sf_dir), F.lit(1 << 53))
+    """Open intervals run to the end of the year that the events are of."""
+    return sampling.busy_time(tables.intervals(spark, sf_dir), F.unix_millis(F.lit("2025-01-01 00:00:00").cast("timestamp")))
 
 
 def duty_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +115,10 @@ def duty_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_5s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as sound of 10 samples a second, in chunks of one second, up to 4."""
+    """Embeddings as sound of 10 samples a second, in chunks of one second; the last is padded."""
     signal = tables.embeddings(spark, sf_dir).select(F.col("video_id").alias("key"), F.col("embedding").alias("samples"))
-    found = sampling.chunks(signal, rate=10, seconds=1, most_seconds=4)
-    return found.select("key", "chunk", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+    found = sampling.chunks(signal, rate=10, seconds=1)
+    return found.select("key", "chunk", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.element_at("samples", -1).alias("last"))
 
 
 def global_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,14 +205,14 @@ ORACLE_SQL = {
       g AS (SELECT key, t, class_id, exp(avg(ln(p + 1e-9::DOUBLE))) AS g FROM v GROUP BY ALL) SELECT key, t, class_id, round(g / sum(g) OVER (PARTITION BY key, t), 6) AS p FROM g""",
     "array_softmax": f"""WITH box AS ({_BOX}), o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {_TIES}) - 1 AS pos, max(abs(score)) OVER (PARTITION BY image_id) AS peak FROM box)
       SELECT image_id, pos::INT AS at, round(exp(score) / sum(exp(score)) OVER (PARTITION BY image_id), 6) AS p, round(CASE WHEN peak > 1e-6 THEN score * (0.9::DOUBLE / peak) ELSE score END, 6) AS scaled FROM o""",
-    "busy_union": """WITH i AS (SELECT user_id AS key, epoch_ms(ts::TIMESTAMP) AS s, epoch_ms(ts::TIMESTAMP) + floor(abs(value) * 1000)::BIGINT AS e FROM events), r AS (SELECT * FROM i WHERE e > s),
+    "busy_union": """WITH i AS (SELECT user_id AS key, epoch_us(ts::TIMESTAMP) // 1000 AS s, least(coalesce(epoch_us(ts::TIMESTAMP) // 1000 + floor(abs(value) * 1000)::BIGINT, 1735689600000), 1735689600000) AS e FROM events), r AS (SELECT * FROM i WHERE e > s),
       b AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
       n AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY s, e) AS island FROM b), u AS (SELECT key, max(e) - min(s) AS len FROM n GROUP BY key, island)
       SELECT key, busy_ms, summed_ms, n FROM (SELECT key, sum(len)::BIGINT AS busy_ms FROM u GROUP BY key) JOIN (SELECT key, sum(e - s)::BIGINT AS summed_ms, count(*) AS n FROM r GROUP BY key) USING (key)""",
     "duty_cycle": """WITH r AS (SELECT user_id AS key, event_id * 10 AS updated_ms, event_id * 3 + event_id % 5 AS busy_ms FROM events)
       SELECT *, round((busy_ms - lag(busy_ms) OVER w)::DOUBLE / (updated_ms - lag(updated_ms) OVER w), 9) AS duty FROM r WINDOW w AS (PARTITION BY key ORDER BY updated_ms)""",
-    "chunk_5s": """WITH c AS (SELECT vec_id AS key, embedding, unnest(generate_series(0, 3)) AS chunk FROM embeddings)
-      SELECT key, chunk::INT AS chunk, 10 AS n, round(list_sum(list_transform(embedding[chunk * 10 + 1:chunk * 10 + 10], lambda x: x::DOUBLE)), 5) AS total FROM c""",
+    "chunk_5s": """WITH c AS (SELECT vec_id AS key, embedding[:600] AS embedding, unnest(generate_series(0, (least(len(embedding), 600) - 1) // 10)) AS chunk FROM embeddings)
+      SELECT key, chunk::INT AS chunk, 10 AS n, round(list_sum(list_transform(embedding[chunk * 10 + 1:chunk * 10 + 10], lambda x: x::DOUBLE)), 5) AS total, coalesce(embedding[chunk * 10 + 10], 0)::FLOAT AS last FROM c""",
     "global_sigmoid": """WITH r AS (SELECT l_orderkey AS key, l_linenumber, l_discount * 12 AS score FROM lineitem), a AS (SELECT *, min(score) OVER k < 0 OR max(score) OVER k > 1 AS applied FROM r WINDOW k AS (PARTITION BY key))
       SELECT key, l_linenumber, round(CASE WHEN applied THEN 1 / (1 + exp(-score)) ELSE score END, 6) AS score, applied FROM a""",
 }

@@ -59,7 +59,7 @@ def whitelist_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct words of titles and, in place of misread ones, the forced table's keys."""
     words = tables.titles(spark, sf_dir).select(F.explode(F.split("title", " ")).alias("word")).filter("word <> ''")
-    forced = spark.createDataFrame([(w,) for k in lexicon.FORCED for w in (k, k.upper(), "de", "Gasona", "2024", "$70", "hibrdo")], "word string")
+    forced = spark.createDataFrame([(w,) for k in lexicon.FORCED for w in (k, k.upper(), k.capitalize(), "de", "Gasona", "2024", "$70", "hibrdo", "ogl", "jeeep", "bulck", "mzada")], "word string")
     return words.union(forced).distinct()
 
 
@@ -79,14 +79,6 @@ def symspell_gate_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delete_neighborhood_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words against a frequency list made of the benchmark's words of three to eight letters, as its SQL has it."""
-    tokens = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))
-    freq = tables.table(spark, sf_dir, "benchmark").select(tokens.alias("term")).filter("length(term) BETWEEN 3 AND 8").groupBy("term").agg(F.count("*").alias("n"))
-    words = tables.table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all(F.lower("url"), F.lit("[a-z]+"), 0)).alias("token")).union(freq.select(F.expr("substr(term, 2)").alias("token"))).filter("token <> ''")
-    return entities.nearest_terms(words, freq)
-
-
-def delete_neighborhood_lookup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words against a frequency list made of all the documents' words."""
     words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0))
     freq = tables.table(spark, sf_dir, "documents").select(words("text").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
@@ -133,10 +125,16 @@ def path_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frequency_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles corrected against the words of the benchmark."""
-    words = tables.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("term"))
+    words = tables.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("term"))
     return entities.frequency_corrected(_misread(spark, sf_dir), words.groupBy("term").agg(F.count("*").alias("n")))
 
 
+def ocr_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misread titles corrected against the domain's words and the benchmark's as a general dictionary."""
+    words = tables.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("w")).distinct()
+    return entities.corrected_text(_misread(spark, sf_dir), frozenset(r["w"] for r in words.collect()))
+
+
 def repeat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", F.lit(" "), F.regexp_extract("text", r"^[^.]*\.", 0), F.lit(" More follows")).alias("t"))
     return rows.select("item_id", text.collapse_repeats(F.col("t")).alias("collapsed"))
@@ -158,18 +156,25 @@ _MODEL = "|".join(m.replace(".", r"\.") for m in sorted(lexicon.MODELS, key=len,
 _YEARS = r"len(list_filter(regexp_extract_all(s, '[0-9]+'), lambda x: regexp_full_match(x, '20[1-3][0-9]')))"
 _MODEL_HITS = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}_])' || '{m.replace('.', chr(92) + '.')}' || '($|[^\\p{{L}}\\p{{N}}_])') THEN '{m}' END" for m in lexicon.MODELS) + "], lambda x: x IS NOT NULL))"
 _WORDS = f"""words AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(title, ' ')) AS word FROM ({TITLES_SQL})) WHERE word <> ''
-  UNION SELECT unnest({[w for k in lexicon.FORCED for w in (k, k.upper(), 'de', 'Gasona', '2024', '$70', 'hibrdo')]}))"""
+  UNION SELECT unnest({[w for k in lexicon.FORCED for w in (k, k.upper(), k.capitalize(), 'de', 'Gasona', '2024', '$70', 'hibrdo', 'ogl', 'jeeep', 'bulck', 'mzada')]}))"""
 _MIS = f"m AS (SELECT video_id, CASE WHEN video_id % 2 = 0 THEN translate(title, '01', 'oi') ELSE translate(title, '4', 'v') END AS text FROM ({TITLES_SQL}))"
 _READ = "r(c, d) AS (VALUES " + ", ".join(f"('{c}', '{d}')" for c, ds in lexicon.YEAR_READINGS.items() for d in ds) + ")"
 _NORM = r"regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 _EXPAND = "SELECT DISTINCT span, (a.d || b.d || c.d || e.d)::INT AS year FROM spans JOIN r a ON a.c = span[1] JOIN r b ON b.c = span[2] JOIN r c ON c.c = span[3] JOIN r e ON e.c = span[4] WHERE (a.d || b.d || c.d || e.d)::INT BETWEEN 1970 AND 2030"
 
+#: Of tokens d(token) and terms f(term, n): the best term one edit away at most, met on forms with a letter left out.
+_FORMS = "list_distinct(list_prepend({0}, list_transform(generate_series(1, length({0})), lambda i: {0}[:i - 1] || {0}[i + 1:])))"
+_NEAREST = f"""df AS (SELECT token, unnest({_FORMS.format('lower(token)')}) AS form FROM d), ff AS (SELECT term, n, unnest({_FORMS.format('term')}) AS form FROM f),
+      pr AS (SELECT DISTINCT token, term, n FROM df JOIN ff USING (form)), ds AS (SELECT *, levenshtein(lower(token), term) AS distance FROM pr),
+      r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, n DESC, term) AS k FROM ds WHERE distance <= 1)"""
+_GATED = rf"""gated AS (SELECT word, length(word) < 3 OR regexp_full_match(word, '(19|20)[0-9]{{2}}') OR regexp_full_match(word, '[0-9]+')
+      OR regexp_matches(word, '(?i)[$€¢£¥]|USD|COP|EUR|MXN') OR list_min(list_transform({list(lexicon.gate_words())}, lambda d: damerau_levenshtein(lower(word), d))) <= 2 AS skipped FROM words)"""
 QUERIES = {
     f.__name__: f
     for f in (
         title_features_basic, title_features_lexical, title_features_currency, title_years, brand_model_counts, collab_flag, whitelist_semi_join,
-        alias_canonicalize, forced_corrections, symspell_gate_native, delete_neighborhood_lookup, delete_neighborhood_lookup_whole, year_detection, year_expansion,
-        model_to_brand_inference, fuzzy_entities, repeat_collapse, title_bigrams, path_columns, frequency_corrected,
+        alias_canonicalize, forced_corrections, symspell_gate_native, delete_neighborhood_lookup, year_detection, year_expansion,
+        model_to_brand_inference, fuzzy_entities, repeat_collapse, title_bigrams, path_columns, frequency_corrected, ocr_corrected,
     )
 }
 ORACLE_SQL = {
@@ -197,14 +202,24 @@ ORACLE_SQL = {
       SELECT word, coalesce({_map(lexicon.BRAND_ALIASES)}[lower(word)], lower(word)) AS brand, coalesce({_map(lexicon.MODEL_ALIASES)}[lower(word)], lower(word)) AS model,
       coalesce({_map(lexicon.KEYWORD_ALIASES)}[lower(word)], lower(word)) AS keyword FROM w""",
     "forced_corrections": f"""WITH {_WORDS}, f AS (SELECT word, {_map(lexicon.FORCED)}[lower(word)] AS forced FROM words)
-      SELECT word, CASE WHEN length(word) < 3 OR forced IS NULL THEN word WHEN word = upper(word) AND word <> lower(word) THEN upper(forced) ELSE forced END AS corrected FROM f""",
+      SELECT word, CASE WHEN length(word) < 3 OR forced IS NULL THEN word WHEN word = upper(word) AND word <> lower(word) THEN upper(forced)
+      WHEN regexp_full_match(word, '([^\\p{{L}}]*\\p{{Lu}}\\p{{Ll}}*)+[^\\p{{L}}]*') THEN array_to_string(list_transform(string_split(forced, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE forced END AS corrected FROM f""",
     "symspell_gate_native": rf"""WITH {_WORDS} SELECT word, length(word) < 3 OR regexp_full_match(word, '(19|20)[0-9]{{2}}') OR regexp_full_match(word, '[0-9]+')
-      OR regexp_matches(word, '(?i)[$€¢£¥]|USD|COP|EUR|MXN') OR list_min(list_transform({list(entities.lexicon.gate_words())}, lambda d: editdist3(lower(word), d))) <= 2 AS skipped FROM words""".replace("editdist3", "levenshtein"),
-    "delete_neighborhood_lookup": """WITH f AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark) WHERE length(term) BETWEEN 3 AND 8 GROUP BY term),
-      w AS (SELECT unnest(regexp_extract_all(lower(url), '[a-z]+')) AS token FROM pages UNION SELECT substr(term, 2) FROM f), d AS (SELECT DISTINCT token FROM w WHERE token <> ''),
-      p AS (SELECT token, term, n, levenshtein(token, term) AS distance FROM d JOIN f ON abs(length(token) - length(term)) <= 1),
-      r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, n DESC, term) AS k FROM p WHERE distance <= 1)
+      OR regexp_matches(word, '(?i)[$€¢£¥]|USD|COP|EUR|MXN') OR list_min(list_transform({list(entities.lexicon.gate_words())}, lambda d: damerau_levenshtein(lower(word), d))) <= 2 AS skipped FROM words""",
+    "delete_neighborhood_lookup": f"""WITH f AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY term),
+      w AS (SELECT unnest(regexp_extract_all(lower(url), '[a-z]+')) AS token FROM pages UNION SELECT substr(term, 2) FROM f), d AS (SELECT DISTINCT token FROM w WHERE token <> ''), {_NEAREST}
       SELECT token, term, distance::INT AS distance FROM r WHERE k = 1""",
+    "frequency_corrected": rf"""WITH {_MIS}, f AS (SELECT term, max(n) AS n FROM (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark) GROUP BY term
+        UNION ALL SELECT unnest({list(lexicon.gate_words())}), 1000000000) GROUP BY term),
+      q AS (SELECT video_id, regexp_extract_all(text, '[\s]+|[^\p{{L}}\p{{N}}_\s]+|[\p{{L}}\p{{N}}_]+') AS parts FROM m),
+      u AS (SELECT video_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS spot FROM q),
+      o AS (SELECT DISTINCT part AS word FROM u WHERE regexp_matches(part, '\p{{L}}')), {_GATED.replace('FROM words', 'FROM o')},
+      d AS (SELECT word AS token FROM gated WHERE NOT skipped), {_NEAREST},
+      b AS (SELECT token, term FROM r WHERE k = 1),
+      x AS (SELECT video_id, spot, CASE WHEN term IS NULL THEN part WHEN part = upper(part) AND part <> lower(part) THEN upper(term)
+        WHEN regexp_full_match(part, '([^\p{{L}}]*\p{{Lu}}\p{{Ll}}*)+[^\p{{L}}]*') THEN array_to_string(list_transform(regexp_extract_all(term, '\p{{L}}+|[^\p{{L}}]+'), lambda w: upper(w[1]) || lower(w[2:])), '') ELSE term END AS part
+        FROM u LEFT JOIN b ON token = part)
+      SELECT m.video_id, coalesce(string_agg(part, '' ORDER BY spot), '') AS corrected FROM m LEFT JOIN x USING (video_id) GROUP BY m.video_id""",
     "year_detection": rf"""WITH {_MIS}, {_READ}, n AS (SELECT video_id, {_NORM} AS t FROM m), x AS (SELECT video_id, list_sort(list_distinct(regexp_extract_all(t, '19[7-9][0-9]|20[0-2][0-9]|2030'))) AS years FROM n),
       sp AS (SELECT DISTINCT video_id, unnest(regexp_extract_all(t, '[12zir][09onod][\p{{L}}\p{{N}}_]{{2}}')) AS span FROM n), spans AS (SELECT DISTINCT span FROM sp), e AS ({_EXPAND}),
       a AS (SELECT video_id, list_sort(list(DISTINCT year::VARCHAR)) AS y FROM sp JOIN e USING (span) GROUP BY video_id)

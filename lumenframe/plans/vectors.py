@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import scores
 from lumenframe.operators import similarity
-from lumenframe.plans.media import COS_SQL
+from lumenframe.plans.media import COS_SQL, P_SQL
 from lumenframe.sources import tables
 
 TARGET = 0
@@ -53,15 +53,9 @@ def calibration_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibration_pairwise_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (f(spark, sf_dir).filter(F.col("channel") == TARGET) for f in (tables.embeddings, tables.quantised))
-    found = similarity.pairwise_spearman(a, b)
-    return found.select("n_pairs", F.round("rho", 6).alias("rho"), scores.agreement_verdict(F.col("rho")).alias("verdict"))
-
-
-def calibration_pairwise_spearman_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all rows, pairs between channels too."""
     found = similarity.pairwise_spearman(tables.embeddings(spark, sf_dir), tables.quantised(spark, sf_dir))
-    return found.select("n_pairs", F.round("rho", 6).alias("rho"), scores.agreement_verdict(F.col("rho")).alias("verdict"))
+    return found.select("n_pairs", F.round("rho", 6).alias("rho"), F.round("p_value", 6).alias("p_value"), scores.agreement_verdict(F.col("rho")).alias("verdict"))
 
 
 def ordering_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +86,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         embedding_normalize, channel_centroids, channel_cohesion, channel_cross_similarity, nearest_peer_ranking, topk_peer_neighbors, visual_outliers,
-        calibration_agreement, calibration_pairwise_spearman, calibration_pairwise_spearman_whole, ordering_match, zero_shot_softmax,
+        calibration_agreement, calibration_pairwise_spearman, ordering_match, zero_shot_softmax,
     )
 }
 ORACLE_SQL = {
@@ -106,14 +100,13 @@ ORACLE_SQL = {
       SELECT target_video_id, rank, peer_channel, peer_video_id, round(cos, 6) AS cos FROM r WHERE rank <= 5""",
     "visual_outliers": f"WITH {COS_SQL} SELECT video_id, round(cos, 6) AS cos FROM coss WHERE channel = 0",
     "calibration_agreement": f"WITH {COS_SQL}, {_Q}, j AS (SELECT list_inner_product(u, v) AS cos FROM unit JOIN qunit USING (channel, video_id)) SELECT count(*) AS n, round(avg(cos), 6) AS mean_cos, round(stddev_pop(cos), 6) AS std_cos, round(min(cos), 6) AS min_cos, round(max(cos), 6) AS max_cos FROM j",
-    "calibration_pairwise_spearman": f"""WITH {COS_SQL}, {_Q}, j AS (SELECT video_id, u, v FROM unit JOIN qunit USING (channel, video_id) WHERE channel = 0),
+    "calibration_pairwise_spearman": f"""WITH {COS_SQL}, {_Q}, j AS (SELECT video_id, u, v FROM unit JOIN qunit USING (channel, video_id)),
       p AS (SELECT round(list_inner_product(a.u, b.u), 9) AS x, round(list_inner_product(a.v, b.v), 9) AS y FROM j a JOIN j b ON a.video_id < b.video_id),
       r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM p),
-      c AS (SELECT count(*) AS n_pairs, corr(rx::DOUBLE, ry::DOUBLE) AS rho FROM r)
-      SELECT n_pairs, round(rho, 6) AS rho, CASE WHEN rho >= 0.8 THEN 'strong' WHEN rho >= 0.6 THEN 'moderate' ELSE 'low' END AS verdict FROM c""",
+      c AS (SELECT count(*) AS n, corr(rx::DOUBLE, ry::DOUBLE) AS rho FROM r), {P_SQL}
+      SELECT n AS n_pairs, round(rho, 6) AS rho, p_value, CASE WHEN rho >= 0.8 THEN 'strong' WHEN rho >= 0.6 THEN 'moderate' ELSE 'low' END AS verdict FROM c, pv""",
     "ordering_match": f"WITH {COS_SQL}, {_Q}, {_QCEN}, a AS ({_ORDER.format('cen')}), b AS ({_ORDER.format('qcen')}) SELECT a.o AS order_a, b.o AS order_b, a.o = b.o AS matches FROM a, b",
     "zero_shot_softmax": f"""WITH {COS_SQL}, p AS (SELECT video_id AS image_id, cen.channel AS label, list_inner_product(u, c) AS sim FROM unit, cen),
       e AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY image_id)) / 0.01::DOUBLE) AS e FROM p)
       SELECT image_id, label, round(sim, 6) AS sim, round(e / sum(e) OVER (PARTITION BY image_id), 5) AS prob, row_number() OVER (PARTITION BY image_id ORDER BY sim DESC, label) AS rank FROM e""",
 }
-ORACLE_SQL["calibration_pairwise_spearman_whole"] = ORACLE_SQL["calibration_pairwise_spearman"].replace(" USING (channel, video_id) WHERE channel = 0)", " USING (channel, video_id))")

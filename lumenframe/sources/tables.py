@@ -95,10 +95,14 @@ def labelled_text(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), (by % len(words) + 1).cast("int"))
     brands, models, words = ("vw", "Chevy", "alfa", "kia", " "), ("CRV", "id.buzz", "civic"), ("electricos", "nuevas", "diesel", "mejores")
 
+    def fresh(shift: int) -> Column:
+        new = ("Nuevo", "estreno", "opinión")
+        return F.when(k % 4 == shift, F.array().cast("array<string>")).otherwise(F.array(pick(new, k), pick(new, k + shift)))
+
     def side(shift: int) -> DataFrame:
         return t.filter(k % 11 != shift).select(
             "video_id", F.array(pick(brands, k), pick(brands, k + shift)).alias("brands"), F.array(pick(models, k * (1 + shift))).alias("models"),
-            F.array((F.lit(2010) + k % (5 + shift)).cast("int")).alias("years"), F.create_map(F.lit("powertrain"), F.array(pick(words, k + shift * (k % 3)))).alias("keywords"),
+            F.array((F.lit(2010) + k % (5 + shift)).cast("int")).alias("years"), F.create_map(F.lit("powertrain"), F.array(pick(words, k + shift * (k % 3))), F.lit("freshness"), fresh(shift)).alias("keywords"),
         )
 
     return side(0), side(1)
