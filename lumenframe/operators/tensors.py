@@ -6,6 +6,7 @@ import io
 import json
 import struct
 import wave
+import zlib
 
 import numpy as np
 
@@ -203,6 +204,21 @@ def safetensor(content: bytes, name: str) -> np.ndarray:
     return flat.reshape(meta["shape"]).astype(np.float32)
 
 
+def png(pixels: np.ndarray) -> bytes:
+    """An 8-bit PNG: (height, width) in grey or (height, width, 3) in blue, green, red (K6)."""
+    rows = pixels.astype(np.uint8) if pixels.ndim == 2 else np.ascontiguousarray(pixels[..., ::-1]).astype(np.uint8)
+    raw = b"".join(b"\0" + row.tobytes() for row in rows)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", rows.shape[1], rows.shape[0], 8, 0 if rows.ndim == 2 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def grey_levels(values: np.ndarray) -> np.ndarray:
+    """Scaled from the least to the greatest to 0 to 255; 0 where all are equal."""
+    low, high = float(values.min()), float(values.max())
+    return ((values - low) / (high - low) * 255).astype(np.uint8) if high > low else np.zeros(values.shape, np.uint8)
+
+
 def blended(tiles: list[tuple[int, int, np.ndarray]], height: int, width: int, overlap: int) -> np.ndarray:
     """Overlapping square tiles averaged with weights that fall off at their edges."""
     total, weight = np.zeros((height, width)), np.zeros((height, width))

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import io
 import re
+import struct
+import wave
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.operators import tensors
+
 
 def keyed_json_lines(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """JSON lines by key; of a key's rows the last in its file, and of files the last by name, wins (S3)."""
@@ -53,6 +58,56 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return path_columns(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content"))
 
 
+def _decoded(rows: DataFrame, schema: str, decode) -> DataFrame:
+    """(path, channel, video_id, schema, error) of binary files, each decoded alone: one that cannot be read is a row with an error."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for content in batch.column(3).to_pylist():
+                try:
+                    out.append((*decode(content), None))
+                except (ValueError, KeyError, EOFError, struct.error, wave.Error) as e:
+                    out.append((*[None] * len(names), f"{type(e).__name__}: {e}"))
+            columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out) if out else [()] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], names=["path", "channel", "video_id", *names, "error"])
+
+    kinds = [{"array<float>": pa.list_(pa.float32()), "array<int>": pa.list_(pa.int32()), "int": pa.int32()}[c.split()[1]] for c in schema.split(", ")] + [pa.string()]
+    return rows.select("path", "channel", "video_id", "content").mapInArrow(run, f"path string, channel string, video_id string, {schema}, error string")
+
+
+def audio_files(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
+    """(path, channel, video_id, samples, rate, error): PCM16 WAV files, channels averaged, at one rate."""
+    return _decoded(binary_files(spark, path), "samples array<float>, rate int", lambda content: (tensors.wav_samples(content, rate).tolist(), rate))
+
+
+def tensor_files(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(path, channel, video_id, tensor, shape, error): one tensor, flat, of each safetensors file."""
+
+    def decode(content: bytes) -> tuple[list, list]:
+        found = tensors.safetensor(content, name)
+        return found.ravel().tolist(), list(found.shape)
+
+    return _decoded(binary_files(spark, path), "tensor array<float>, shape array<int>", decode)
+
+
+def array_files(spark: SparkSession, path: str, name: str = "") -> DataFrame:
+    """(path, channel, video_id, tensor, shape, error): npy files, or the array ``name`` of npz files."""
+
+    def decode(content: bytes) -> tuple[list, list]:
+        found = np.load(io.BytesIO(content), allow_pickle=False)
+        found = np.asarray(found[name] if name else found, np.float32)
+        return found.ravel().tolist(), list(found.shape)
+
+    return _decoded(binary_files(spark, path), "tensor array<float>, shape array<int>", decode)
+
+
+def write_pngs(images: DataFrame, path: str) -> None:
+    """Images (name, png) as a table of encoded files (K6): a file each would be too many for a shared store."""
+    images.select("name", "png").write.mode("overwrite").parquet(path)
+
+
 def frequency_list(spark: SparkSession, path: str) -> DataFrame:
     """(term, n) of lines "term count" (S13)."""
     return spark.read.schema("term string, n long").option("sep", " ").option("quote", "").csv(path)
@@ -107,6 +162,16 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def write_records(df: DataFrame, path: str) -> None:
+    """Embeddings and other records as Parquet (K1)."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """Records as JSON lines, letters as they are and null fields written (K2)."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_json_report(df: DataFrame, path: str) -> None:
     """A one-row report as pretty JSON (K3)."""
     df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -26,6 +26,6 @@ def test_lookup_of_all_words(spark):
         hits = [(d, -freq[x], x) for x, d in near(token) if x in freq]
         if hits:
             want[token] = (min(hits)[2], min(hits)[0])
-    got = {r["token"]: (r["term"], r["distance"]) for r in catalogue.QUERIES["delete_neighborhood_lookup_whole"](spark, SMALL).collect()}
+    got = {r["token"]: (r["term"], r["distance"]) for r in catalogue.QUERIES["delete_neighborhood_lookup"](spark, SMALL).collect()}
     assert got == want
     assert any(len(t) > 8 for t, _ in got.values()) and any(len(t) < 3 for t, _ in got.values())
