@@ -133,7 +133,7 @@ def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             mels = [tensors.log_mel(np.sin(np.arange(1600) * (0.01 + k % 50 / 100)), filters) for k in part["key"]]
-            yield pd.DataFrame({"key": part["key"], "frames": [m.shape[1] for m in mels], "mean": [float(m.mean()) for m in mels]})
+            yield pd.DataFrame({"key": part["key"], "frames": [m.shape[1] for m in mels], "mean": [round(float(m.mean(dtype=float)), 6) for m in mels]})
 
     return tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")).mapInPandas(run, "key long, frames int, mean double")
 
@@ -173,6 +173,40 @@ def _nms(order: str, suppressed: str, where: str = "true", most: int | None = No
       SELECT image_id, array_to_string(list_transform(max_by(kept, k){cut}, lambda q: q.box_id), ',') AS kept FROM f GROUP BY image_id"""
 
 
+# An image's rows and columns; beyond its border stands the nearest pixel for gradients, 0 for magnitudes.
+_ROW, _COLUMN = "OVER (PARTITION BY id, y ORDER BY x)", "OVER (PARTITION BY id, x ORDER BY y)"
+_beside = lambda c, way, line: f"coalesce({way}({c}) {line}, {c})"
+_digits = lambda x, n: f"round_even({x} * 1e{n}, 0) / 1e{n}"
+_PIXELS = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding AS e, len(embedding) AS n FROM embeddings),
+      px AS (SELECT id, n, y, x, floor(least(greatest(e[y] * e[x] * 4000::FLOAT + 128::FLOAT, 0), 255))::DOUBLE AS b FROM v, LATERAL (SELECT unnest(generate_series(1, n)) AS y), LATERAL (SELECT unnest(generate_series(1, n)) AS x)),
+      bgr AS (SELECT *, b AS g, 255 - b AS r FROM px),
+      ends AS (SELECT *, greatest(b, g, r) AS val, least(b, g, r) AS low, round_even(0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r, 0) AS gray FROM bgr),
+      turn AS (SELECT *, CASE WHEN val = low THEN 0::DOUBLE WHEN val = r THEN (g - b) / (val - low) WHEN val = g THEN 2 + (b - r) / (val - low) ELSE 4 + (r - g) / (val - low) END * 60 AS h FROM ends),
+      hsv AS (SELECT *, round_even(CASE WHEN h < 0 THEN h + 360 ELSE h END / 2, 0) % 180 AS hue, CASE WHEN val > 0 THEN round_even((val - low) * 255 / val, 0) ELSE 0 END AS sat FROM turn),
+      across AS (SELECT id, y, x, {_beside("gray", "lead", _ROW)} - {_beside("gray", "lag", _ROW)} AS d, {_beside("gray", "lag", _ROW)} + 2 * gray + {_beside("gray", "lead", _ROW)} AS s FROM hsv),
+      sobel AS (SELECT id, y, x, {_beside("d", "lag", _COLUMN)} + 2 * d + {_beside("d", "lead", _COLUMN)} AS dx, {_beside("s", "lead", _COLUMN)} - {_beside("s", "lag", _COLUMN)} AS dy FROM across),
+      mag AS (SELECT *, abs(dx) + abs(dy) AS m, abs(dy) / greatest(abs(dx), 1e-12::DOUBLE) AS steep FROM sobel),
+      sides AS (SELECT *, lag(m, 1, 0) {_ROW} AS w, lead(m, 1, 0) {_ROW} AS z FROM mag),
+      eight AS (SELECT *, lag(m, 1, 0) {_COLUMN} AS up, lead(m, 1, 0) {_COLUMN} AS down, lag(w, 1, 0) {_COLUMN} AS uw, lead(z, 1, 0) {_COLUMN} AS dz, lag(z, 1, 0) {_COLUMN} AS uz, lead(w, 1, 0) {_COLUMN} AS dw FROM sides),
+      peaks AS (SELECT id, y, x, m FROM eight WHERE m > 80 AND CASE WHEN steep < 0.4142::DOUBLE THEN m > w AND m >= z WHEN steep > 2.4142::DOUBLE THEN m > up AND m >= down WHEN dx * dy > 0 THEN m > uw AND m >= dz ELSE m > uz AND m >= dw END),
+      near AS (SELECT a.i AS dy, c.i AS dx FROM range(-1, 2) a(i), range(-1, 2) c(i)),
+      edge AS (SELECT id, y, x FROM peaks WHERE m > 180 UNION SELECT p.id, p.y, p.x FROM edge e CROSS JOIN near o JOIN peaks p ON p.id = e.id AND p.y = e.y + o.dy AND p.x = e.x + o.dx),
+      marked AS (SELECT hsv.*, (edge.id IS NOT NULL)::INT AS on_edge FROM hsv LEFT JOIN edge ON edge.id = hsv.id AND edge.y = hsv.y AND edge.x = hsv.x),
+      lines AS (SELECT id, y, avg(on_edge) AS mean FROM marked GROUP BY id, y), dense AS (SELECT id, mean > 2 * avg(mean) OVER (PARTITION BY id) AS over_twice FROM lines),
+      high AS (SELECT id, avg(over_twice::INT) AS high FROM dense GROUP BY id)
+      SELECT id AS video_id, 1.0::DOUBLE AS aspect_ratio, round(any_value(n * n) / 1e6, 3) AS megapixels, avg(hue) AS mean_hue, avg(sat) AS mean_sat, avg(val) AS mean_value, stddev_pop(hue) AS std_hue,
+      stddev_pop(sat) AS std_sat, stddev_pop(val) AS std_value, avg((sat > 128)::INT) AS saturation_high_ratio, avg(val) AS brightness_mean, avg((val < 64)::INT) AS dark_pixel_ratio,
+      avg((val > 192)::INT) AS bright_pixel_ratio, avg((hue < 30 OR hue > 150)::INT) AS warm_color_ratio, avg((hue BETWEEN 90 AND 150)::INT) AS cool_color_ratio,
+      {_digits("count(DISTINCT floor(b / 8) * 1024 + floor(g / 8) * 32 + floor(r / 8)) / any_value(n * n)", 6)} AS unique_color_ratio, stddev_pop(gray) AS contrast_std, {_digits("avg(on_edge)", 5)} AS edge_density,
+      {_digits("avg(on_edge) FILTER (y <= n // 3)", 5)} AS edge_density_top_third, {_digits("avg(on_edge) FILTER (y > n - n // 3)", 5)} AS edge_density_bottom_third,
+      {_digits("any_value(high)", 4)} AS high_edge_rows_ratio FROM marked JOIN high USING (id) GROUP BY id"""
+# A discrete Fourier transform by its definition, over the 50 pitches there are.
+_MELS = """WITH tone AS (SELECT DISTINCT p_partkey % 50 AS pitch FROM part), s AS (SELECT pitch, i, sin(i * (0.01::DOUBLE + pitch / 100.0::DOUBLE)) AS v FROM tone, range(1600) r(i)),
+      f AS (SELECT t, i, CASE WHEN t * 160 + i < 200 THEN 200 - t * 160 - i WHEN t * 160 + i > 1799 THEN 3398 - t * 160 - i ELSE t * 160 + i - 200 END AS at, 0.5 - 0.5 * cos(2 * pi() * i / 400) AS hann FROM range(10) a(t), range(400) b(i)),
+      w AS (SELECT pitch, t, f.i, v * hann AS v FROM f JOIN s ON s.i = f.at), turn AS (SELECT i, k, cos(2 * pi() * (i * k % 400) / 400) AS c, sin(2 * pi() * (i * k % 400) / 400) AS s FROM range(400) a(i), range(80) b(k)),
+      p AS (SELECT pitch, t, k, log10(greatest(sum(v * c) ** 2 + sum(v * s) ** 2, 1e-10::DOUBLE)) AS db FROM w JOIN turn USING (i) GROUP BY pitch, t, k),
+      m AS (SELECT pitch, count(DISTINCT t)::INT AS frames, round(avg(((greatest(db, top - 8) + 4) / 4)::FLOAT::DOUBLE), 6) AS mean FROM (SELECT *, max(db) OVER (PARTITION BY pitch) AS top FROM p) GROUP BY pitch)
+      SELECT p_partkey AS key, frames, mean FROM part JOIN m ON pitch = p_partkey % 50"""
 _LABELS = "lab AS (SELECT l_orderkey AS image_id, list(floor(l_quantity / 7)::INT ORDER BY l_linenumber, floor(l_quantity / 7)) AS labels FROM lineitem GROUP BY l_orderkey)"
 QUERIES = {
     f.__name__: f
@@ -183,6 +217,8 @@ QUERIES = {
 }
 _TIES = "x, y, w, h, score, class_id, box_id"
 ORACLE_SQL = {
+    "log_mel": _MELS,
+    "image_pixel_stats": _PIXELS,
     "box_nms_area": _nms(f"w * h DESC, {_TIES}", f"{_IOU} >= 0.5"),
     "box_nms_score": _nms(f"score DESC, {_TIES}", f"{_IOU} > 0.3", "score > 0.1", 3),
     "box_nms_class": _nms(f"score DESC, {_TIES}", f"z.class_id = b.class_id AND {_IOU} > 0.3"),

@@ -109,7 +109,11 @@ def model_to_brand_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.extract(_misread(spark, sf_dir)).withColumn("brand_sources", F.array_sort(F.map_entries("brand_sources")))
+    """Entities of misread titles, each list as text."""
+    found = entities.extract(_misread(spark, sf_dir))
+    sources = F.transform(F.array_sort(F.map_entries("brand_sources")), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    lists = [c for c in found.columns if c not in ("video_id", "brand_sources", "brand_count", "model_count")]
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in lists} | {"brand_sources": F.array_join(sources, ",")})
 
 
 def title_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +173,30 @@ _NEAREST = f"""df AS (SELECT token, unnest({_FORMS.format('lower(token)')}) AS f
       r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, n DESC, term) AS k FROM ds WHERE distance <= 1)"""
 _GATED = rf"""gated AS (SELECT word, length(word) < 3 OR regexp_full_match(word, '(19|20)[0-9]{{2}}') OR regexp_full_match(word, '[0-9]+')
       OR regexp_matches(word, '(?i)[$€¢£¥]|USD|COP|EUR|MXN') OR list_min(list_transform({list(lexicon.gate_words())}, lambda d: damerau_levenshtein(lower(word), d))) <= 2 AS skipped FROM words)"""
+_VOCABULARY = "vocab(kind, item) AS (VALUES " + ", ".join(f"('{k}', '{i}')" for k, items in entities.VOCABULARIES.items() for i in items) + ")"
+#: Of pairs p(a, b): their ratio, by taking the longest common run (of equals the first) and going on to its left and right.
+_RATIO = """sm AS (SELECT a, b, a AS l, b AS r, 0::BIGINT AS got FROM p
+        UNION ALL SELECT a, b, q.l, q.r, q.got FROM (SELECT a, b, unnest([{'l': l[:i - 1], 'r': r[:j - 1], 'got': k}, {'l': l[i + k:], 'r': r[j + k:], 'got': 0}]) AS q
+          FROM (SELECT a, b, l, r, i, k, instr(r, l[i:i + k - 1]) AS j FROM (SELECT a, b, l, r, 1000 - best % 1000 AS i, best // 1000 AS k FROM (
+            SELECT a, b, l, r, list_max(list_transform(list_filter(flatten(list_transform(generate_series(1, length(l)), lambda i: list_transform(generate_series(1, length(l) - i + 1), lambda k: {'i': i, 'k': k}))),
+              lambda o: contains(r, l[o.i:o.i + o.k - 1])), lambda o: o.k * 1000 + 1000 - o.i)) AS best FROM sm WHERE l <> '' AND r <> '') WHERE best IS NOT NULL)))),
+      ratio AS (SELECT a, b, 2.0::DOUBLE * sum(got) / (length(a) + length(b)) AS ratio FROM sm GROUP BY a, b)"""
+_alike = lambda a, b: f"2 * least(length({a}), length({b}))::DOUBLE / (length({a}) + length({b})) >= 0.85"
+_ENTITIES = f"""WITH RECURSIVE {_MIS}, {_VOCABULARY}, tok AS (SELECT video_id, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS w FROM m),
+      terms AS (SELECT DISTINCT video_id, 0 AS gap, unnest(w) AS term FROM tok UNION SELECT video_id, 1, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM tok),
+      known AS (SELECT DISTINCT gap, term FROM terms),
+      met AS (SELECT term, kind, item, CASE WHEN gap = 0 THEN replace(item, ' ', '') ELSE item END AS a, gap = 0 AND NOT contains(item, ' ') AND length(item) >= 4 AND contains(term, item) AS within
+        FROM known JOIN vocab ON CASE WHEN gap = 1 THEN length(item) - length(replace(item, ' ', '')) = 1 WHEN contains(item, ' ') THEN length(term) >= length(item) - 1 ELSE length(term) >= greatest(3, length(item) - 2) END),
+      p AS (SELECT DISTINCT a, term AS b FROM met WHERE {_alike('a', 'term')}), {_RATIO},
+      hits AS (SELECT DISTINCT video_id, kind, item FROM terms JOIN met USING (term) LEFT JOIN ratio ON ratio.a = met.a AND ratio.b = met.term WHERE within OR ratio >= 0.85),
+      src AS (SELECT video_id, brand, max(source) AS source FROM (SELECT video_id, item AS brand, 'ocr' AS source FROM hits WHERE kind = 'brand'
+        UNION ALL SELECT video_id, {_map(lexicon.MODEL_BRAND)}[item], 'model_inference' FROM hits WHERE kind = 'model') WHERE brand IS NOT NULL GROUP BY video_id, brand),
+      br AS (SELECT video_id, string_agg(brand, ',' ORDER BY brand) AS brands, string_agg(brand || ':' || source, ',' ORDER BY brand) AS brand_sources, count(*)::INT AS brand_count FROM src GROUP BY video_id),
+      ls AS (SELECT video_id, count_if(kind = 'model')::INT AS model_count, string_agg(item, ',' ORDER BY item) FILTER (kind = 'model') AS models,
+        {', '.join(f"string_agg(item, ',' ORDER BY item) FILTER (kind = 'keyword_{k}') AS keywords_{k}" for k in lexicon.KEYWORDS)} FROM hits GROUP BY video_id)
+      SELECT m.video_id, coalesce(brands, '') AS brands, coalesce(brand_sources, '') AS brand_sources, coalesce(models, '') AS models, y.years, y.ambiguous AS years_ambiguous,
+      coalesce(brand_count, 0) AS brand_count, coalesce(model_count, 0) AS model_count, {', '.join(f"coalesce(keywords_{k}, '') AS keywords_{k}" for k in lexicon.KEYWORDS)}
+      FROM m LEFT JOIN br USING (video_id) LEFT JOIN ls USING (video_id) JOIN years y USING (video_id)"""
 QUERIES = {
     f.__name__: f
     for f in (
@@ -227,6 +255,11 @@ ORACLE_SQL = {
     "year_expansion": f"WITH {_MIS}, {_READ}, spans AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[0-9a-z]{{4}}')) AS span FROM m) {_EXPAND}",
     "title_bigrams": f"""WITH n AS (SELECT video_id, list_filter(string_split({_NORM.replace('text', 'title')}, ' '), lambda x: x <> '') AS w FROM ({TITLES_SQL})),
       g AS (SELECT video_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM n) SELECT video_id, w[i] || ' ' || w[i + 1] AS bigram FROM g""",
+    "repeat_collapse": r"""WITH t AS (SELECT item_id, text || ' ' || regexp_extract(text, '^[^.]*\.') || ' More follows' AS t FROM benchmark),
+      s AS (SELECT item_id, list_transform(string_split(regexp_replace(t, '([.?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)) AS s FROM t), l AS (SELECT *, list_transform(s, lambda x: lower(x)) AS l FROM s),
+      c AS (SELECT *, list_min(list_filter(generate_series(1, len(l)), lambda i: l[i] <> '' AND len(list_filter(l[:i - 1], lambda k: contains(k, l[i]) OR contains(l[i], k))) > 0)) AS again FROM l),
+      j AS (SELECT item_id, array_to_string(s[:coalesce(again, len(s) + 1) - 1], ' ') AS j FROM c) SELECT item_id, CASE WHEN j = '' OR regexp_matches(j, '[.?]$') THEN j ELSE j || '.' END AS collapsed FROM j""",
     "path_columns": """SELECT page_id, url || '/chan/img-' || page_id || '.jpg' AS path, 'chan' AS channel, 'img-' || page_id AS video_id FROM pages""",
     "model_to_brand_inference": f"SELECT model, {_map(lexicon.MODEL_BRAND)}[model] AS brand FROM (SELECT unnest({list(lexicon.MODELS)}) AS model)",
 }
+ORACLE_SQL["fuzzy_entities"] = _ENTITIES.replace(" JOIN years y ", f" JOIN ({ORACLE_SQL['year_detection']}) y ")
