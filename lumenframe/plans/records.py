@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe import lexicon
 from lumenframe.functions import text
 from lumenframe.operators import records
 from lumenframe.plans import titles
@@ -62,10 +63,11 @@ def channel_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replayed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corrected text and entities from the stored raw text."""
+    """Corrected text and entities from the stored raw text, each list as text."""
     words = tables.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("w")).distinct()
     raw = titles._misread(spark, sf_dir).select("video_id", F.col("text").alias("ocr_text"))
-    return records.replayed(raw, frozenset(r["w"] for r in words.collect()))
+    found = records.replayed(raw, frozenset(r["w"] for r in words.collect()))
+    return found.select(*[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) if kind.startswith("array") else F.col(c) for c, kind in found.dtypes])
 
 
 def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +103,10 @@ QUERIES = {
     )
 }
 ORACLE_SQL = {
+    "replayed_records": rf"""WITH {titles._MIS}, e AS ({titles.entities_sql(titles.CORRECTED_SQL)})
+      SELECT video_id, m.text AS ocr_text, c.text AS ocr_text_corrected, length(m.text) AS ocr_char_count, regexp_matches(m.text, '\p{{Nd}}') AS ocr_has_digit, years <> '' OR years_ambiguous <> '' AS ocr_has_year,
+      {', '.join(f'{c} AS ocr_{c}' for c in ('brands', 'models', 'years', 'years_ambiguous', 'brand_count', 'model_count'))}, {', '.join(f'keywords_{k} AS ocr_keyword_{k}' for k in lexicon.KEYWORDS)}
+      FROM m JOIN {titles.CORRECTED_SQL} c USING (video_id) JOIN e USING (video_id)""",
     "null_block": f"WITH {_REC} SELECT video_id, {_BLOCK} FROM rec",
     "overlaid_records": f"""WITH {_REC} SELECT video_id, CASE WHEN video_id % 5 = 0 THEN title WHEN video_id % 2 = 0 THEN upper(title) END AS title, 1 AS rank,
       CASE WHEN video_id % 5 <> 0 THEN faces END AS vision_face_count FROM rec""",

@@ -182,7 +182,7 @@ _RATIO = """sm AS (SELECT a, b, a AS l, b AS r, 0::BIGINT AS got FROM p
               lambda o: contains(r, l[o.i:o.i + o.k - 1])), lambda o: o.k * 1000 + 1000 - o.i)) AS best FROM sm WHERE l <> '' AND r <> '') WHERE best IS NOT NULL)))),
       ratio AS (SELECT a, b, 2.0::DOUBLE * sum(got) / (length(a) + length(b)) AS ratio FROM sm GROUP BY a, b)"""
 _alike = lambda a, b: f"2 * least(length({a}), length({b}))::DOUBLE / (length({a}) + length({b})) >= 0.85"
-_ENTITIES = f"""WITH RECURSIVE {_MIS}, {_VOCABULARY}, tok AS (SELECT video_id, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS w FROM m),
+_ENTITIES = f"""{_VOCABULARY}, tok AS (SELECT video_id, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS w FROM m),
       terms AS (SELECT DISTINCT video_id, 0 AS gap, unnest(w) AS term FROM tok UNION SELECT video_id, 1, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM tok),
       known AS (SELECT DISTINCT gap, term FROM terms),
       met AS (SELECT term, kind, item, CASE WHEN gap = 0 THEN replace(item, ' ', '') ELSE item END AS a, gap = 0 AND NOT contains(item, ' ') AND length(item) >= 4 AND contains(term, item) AS within
@@ -197,6 +197,29 @@ _ENTITIES = f"""WITH RECURSIVE {_MIS}, {_VOCABULARY}, tok AS (SELECT video_id, l
       SELECT m.video_id, coalesce(brands, '') AS brands, coalesce(brand_sources, '') AS brand_sources, coalesce(models, '') AS models, y.years, y.ambiguous AS years_ambiguous,
       coalesce(brand_count, 0) AS brand_count, coalesce(model_count, 0) AS model_count, {', '.join(f"coalesce(keywords_{k}, '') AS keywords_{k}" for k in lexicon.KEYWORDS)}
       FROM m LEFT JOIN br USING (video_id) LEFT JOIN ls USING (video_id) JOIN years y USING (video_id)"""
+_TITLE_CASE = r"array_to_string(list_transform(regexp_extract_all({0}, '\p{{L}}+|[^\p{{L}}]+'), lambda w: upper(w[1]) || lower(w[2:])), '')"
+_CASED = rf"""CASE WHEN part = upper(part) AND part <> lower(part) THEN upper(new) WHEN regexp_full_match(part, '([^\p{{L}}]*\p{{Lu}}\p{{Ll}}*)+[^\p{{L}}]*') THEN {_TITLE_CASE.format('new')} ELSE new END"""
+#: Of texts m(video_id, text): corrected(video_id, text). Dictionary words one or two edits away are those of that distance.
+_CORRECTED = rf"""dict AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS d FROM benchmark), dom AS (SELECT unnest({list(lexicon.correction_words())}) AS d),
+      q AS (SELECT video_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_''’-]+|[^\s\p{{L}}\p{{N}}_]') AS parts FROM m), u AS (SELECT video_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS spot FROM q),
+      seen AS (SELECT DISTINCT part, lower(part) AS low, {_map(lexicon.FORCED)}[lower(part)] AS forced FROM u WHERE length(part) >= 3 AND regexp_matches(part, '[\p{{L}}\p{{N}}_]')),
+      unknown AS (SELECT DISTINCT low FROM seen WHERE forced IS NULL AND low NOT IN (SELECT d FROM dom) AND low NOT IN (SELECT d FROM dict)),
+      p AS (SELECT low AS a, d AS b FROM unknown JOIN dom ON abs(length(d) - length(low)) <= 2 UNION SELECT low, d FROM unknown JOIN dict ON damerau_levenshtein(low, d) <= 2), {_RATIO},
+      near AS (SELECT a, b, ratio, lead(ratio) OVER w AS next, row_number() OVER w AS k FROM ratio JOIN dom ON d = b WHERE abs(length(a) - length(b)) <= 2 AND ratio >= 0.82::DOUBLE WINDOW w AS (PARTITION BY a ORDER BY ratio DESC, b)),
+      edits AS (SELECT a, b, ratio, damerau_levenshtein(a, b) AS e FROM ratio JOIN dict ON d = b), least_edits AS (SELECT * FROM edits WHERE e <= 2 QUALIFY e = min(e) OVER (PARTITION BY a)),
+      close AS (SELECT a, b, ratio, lead(ratio) OVER w AS next, row_number() OVER w AS k FROM least_edits WINDOW w AS (PARTITION BY a ORDER BY ratio DESC, b)),
+      fixed AS (SELECT part, coalesce(forced, near.b, close.b) AS new FROM seen LEFT JOIN near ON near.a = low AND near.k = 1 AND (near.next IS NULL OR near.next <= near.ratio - 0.04::DOUBLE)
+        LEFT JOIN close ON close.a = low AND close.k = 1 AND close.ratio >= 0.82::DOUBLE AND (close.next IS NULL OR close.next < close.ratio - 0.03::DOUBLE)),
+      corrected AS (SELECT video_id, coalesce(string_agg(coalesce({_CASED}, part), ' ' ORDER BY spot), any_value(text)) AS text FROM m LEFT JOIN u USING (video_id) LEFT JOIN fixed USING (part) GROUP BY video_id)"""
+
+
+def entities_sql(source: str) -> str:
+    """SQL of the entities in the texts of ``source`` (video_id, text)."""
+    m = f"m AS (SELECT video_id, text FROM {source})"
+    years = ORACLE_SQL["year_detection"].replace(_MIS, m)
+    return f"WITH RECURSIVE {m}, {_ENTITIES.replace(' JOIN years y ', f' JOIN ({years}) y ')}"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -262,4 +285,6 @@ ORACLE_SQL = {
     "path_columns": """SELECT page_id, url || '/chan/img-' || page_id || '.jpg' AS path, 'chan' AS channel, 'img-' || page_id AS video_id FROM pages""",
     "model_to_brand_inference": f"SELECT model, {_map(lexicon.MODEL_BRAND)}[model] AS brand FROM (SELECT unnest({list(lexicon.MODELS)}) AS model)",
 }
-ORACLE_SQL["fuzzy_entities"] = _ENTITIES.replace(" JOIN years y ", f" JOIN ({ORACLE_SQL['year_detection']}) y ")
+CORRECTED_SQL = f"(WITH RECURSIVE {_MIS}, {_CORRECTED} SELECT video_id, text FROM corrected)"
+ORACLE_SQL["ocr_corrected"] = f"SELECT video_id, text AS corrected FROM {CORRECTED_SQL}"
+ORACLE_SQL["fuzzy_entities"] = entities_sql(f"(WITH {_MIS} SELECT * FROM m)")
