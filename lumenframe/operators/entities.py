@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lumenframe import lexicon
 from lumenframe.functions import text
+from lumenframe.lineage import materialised
 
 RATIO = 0.85
 VOCABULARIES = {"brand": lexicon.BRANDS, "model": lexicon.MODELS} | {f"keyword_{k}": v for k, v in lexicon.KEYWORDS.items()}
@@ -73,7 +74,8 @@ def matched_terms(texts: DataFrame, key: str, column: str) -> DataFrame:
     found = None
     for size, find in ((1, word_matches), (2, run_matches)):
         terms = tokens.select(key, F.explode(F.array_distinct(text.token_ngrams(F.col("tokens"), size))).alias("term"))
-        udf = F.pandas_udf(_matches(find), kind)
+        # Not deterministic in name only: so the filter stays above the distinct terms and each is looked up once.
+        udf = F.pandas_udf(_matches(find), kind).asNondeterministic()
         known = terms.select("term").distinct().withColumn("m", udf("term")).filter(F.size("m") > 0)
         hits = terms.join(known, "term").select(key, F.inline("m"))
         found = hits if found is None else found.union(hits)
@@ -86,7 +88,7 @@ def extract(texts: DataFrame, key: str = "video_id", column: str = "text") -> Da
 
     A brand is named ("ocr") or follows from a model ("model_inference"); the first wins.
     """
-    terms = matched_terms(texts, key, column)
+    terms = materialised(matched_terms(texts, key, column))
     inferred = terms.filter("kind = 'model'").select(key, text.mapped(F.col("item"), lexicon.MODEL_BRAND).alias("brand")).filter("brand IS NOT NULL")
     named = terms.filter("kind = 'brand'").select(key, F.col("item").alias("brand"), F.lit("ocr").alias("source"))
     brands = named.union(inferred.withColumn("source", F.lit("model_inference"))).groupBy(key, "brand").agg(F.max("source").alias("source"))
@@ -257,7 +259,9 @@ def frequency_corrected(texts: DataFrame, frequencies: DataFrame, key: str = "vi
     """(key, corrected): tokens replaced by their nearest term, delimiters as they stand."""
     parts = F.regexp_extract_all(F.col(column), F.lit(r"(?U)\s+|[^\w\s]+|\w+"), 0)
     long = texts.select(key, F.posexplode(parts).alias("at", "part"))
-    words = long.filter(F.col("part").rlike(r"\p{L}")).select(F.col("part").alias("token")).distinct().filter(~gate_skips(F.col("token")))
+    words = long.filter(F.col("part").rlike(r"\p{L}")).groupBy(F.col("part").alias("token")).agg(F.count("*").alias("n"))
+    # The count is in the condition so that the gate is asked once for each word, not pushed down to every occurrence.
+    words = words.filter(~F.when(F.col("n") > 0, gate_skips(F.col("token")))).select("token")
     found = nearest_terms(words, boosted(frequencies)).select(F.col("token").alias("part"), "term")
     fixed = long.join(found, "part", "left").withColumn("part", F.when(F.col("term").isNull(), F.col("part")).otherwise(text.with_case_of(F.col("part"), F.col("term"))))
     joined = fixed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "").alias("corrected"))
