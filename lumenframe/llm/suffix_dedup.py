@@ -346,7 +346,8 @@ def _repeated(rows: DataFrame, scratch: Scratch, min_words: int, gram: int) -> D
     ruled = classes.join(found, ["g", "c"], "left").select("g", "c", F.concat(masks, own).alias("masks")).filter(F.size("masks") > 0)
     ruled = scratch.table(ruled, "ruled")
     # 4: back to every copy.
-    members = alike.join(ruled, ["g", "c"]).groupBy("doc_id", "t1", "n_words").agg(F.collect_list(F.struct("first", "again", "masks")).alias("found"))
+    # A set, which is combined before the shuffle: of rows that are repeated, however often, each cell comes once.
+    members = alike.join(ruled, ["g", "c"]).groupBy("doc_id", "t1", "n_words").agg(F.collect_set(F.struct("first", "again", "masks")).alias("found"))
     merged = _merged(members.select("doc_id", "n_words", "found"), min_words)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     return merged.select(

@@ -54,3 +54,12 @@ def test_first_ids_of_copies_that_share_a_passage(spark):
     found = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = {r["doc_id"]: list(r["first_ids"]) for r in found}
     assert got == firsts(rows, 50) and got[6] == [1, 5]
+
+
+def test_row_repeated_often(spark):
+    """One text under a null id, many times over: its cells come once, and the copy of the smallest id stays."""
+    text = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, text), (2, f"{text} tail"), *[(None, text)] * 600]
+    found = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    members = sorted((r["doc_id"] is None, r["doc_id"], r["n_words"], r["n_repeated"], r["n_removed"], r["first_ids"]) for r in found.collect())
+    assert members == [(False, 1, 120, 120, 0, [1]), (False, 2, 121, 120, 120, [1]), (True, None, 120, 120, 120, [1])]
