@@ -136,7 +136,7 @@ def seen_before(hashes: np.ndarray, grams: np.ndarray, first: np.ndarray, last:
 
 
 CELL = T.StructType([T.StructField(n, t, False) for n, t in (
-    ("g", T.LongType()), ("c", T.LongType()), ("t1", T.IntegerType()), ("n_words", T.IntegerType()), ("at", T.IntegerType()),
+    ("g", T.LongType()), ("c", T.LongType()), ("t1", T.LongType()), ("n_words", T.IntegerType()), ("at", T.IntegerType()),
     ("first", T.IntegerType()), ("size", T.IntegerType()), ("again", T.LongType()),
 )])
 
@@ -312,7 +312,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     occurrences, and the documents that hold the first occurrences."""
     if not 0 < gram <= min_words or min_words - gram > 61:
         raise ValueError("a gram has 1 to min_words words, and at most 61 less than a window")
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.hash("text").alias("t1"), "text")
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("t1"), "text")
     with Scratch(docs.sparkSession, "suffixes") as scratch:
         return _repeated(rows, scratch, min_words, gram)
 
