@@ -77,7 +77,8 @@ def matched_terms(texts: DataFrame, key: str, column: str) -> DataFrame:
         # Not deterministic in name only: so the filter stays above the distinct terms and each is looked up once.
         udf = F.pandas_udf(_matches(find), kind).asNondeterministic()
         known = terms.select("term").distinct().withColumn("m", udf("term")).filter(F.size("m") > 0)
-        hits = terms.join(known, "term").select(key, F.inline("m"))
+        # Dealt by word: the planner takes the size of the table's files for that of its words and would send either side to the driver.
+        hits = terms.join(known.hint("shuffle_hash"), "term").select(key, F.inline("m"))
         found = hits if found is None else found.union(hits)
     return found.distinct()
 

@@ -25,6 +25,12 @@ def test_python_runs_on_distinct_words(spark):
         assert parts and all("HashAggregate" in part.split("Generate")[0] for part in parts)
 
 
+def test_no_words_are_broadcast(spark):
+    matched = entities.matched_terms(titles._misread(spark, SMALL), "video_id", "text")
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("ShuffledHashJoin") == 2
+
+
 def test_ratio_sql():
     draw = random.Random(5)
     word = lambda: "".join(draw.choice("abcñ") for _ in range(draw.randint(1, 12)))
