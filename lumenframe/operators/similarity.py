@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenframe.functions import vectors
 from lumenframe.lineage import materialised
+from lumenframe.operators import pair_ranks
 from lumenframe.operators.ranking import spearman
 
 
@@ -142,49 +143,27 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return cos.agg(F.count("*").alias("n"), F.avg("cos").alias("mean_cos"), F.stddev_pop("cos").alias("std_cos"), F.min("cos").alias("min_cos"), F.max("cos").alias("max_cos"))
 
 
+#: Pairs at most that are kept as rows and sorted.
+SORTED = 1 << 22
+
+
 def pairwise_spearman(a: DataFrame, b: DataFrame, block: int = 512) -> DataFrame:
     """Rank correlation of the two models' similarities over all pairs of rows (J10, A12, A13): (n_pairs, rho, p_value).
 
     The result is of all pairs by definition, so this is for a stated set of items, not a whole corpus. Rows are
-    dealt into blocks; each two blocks meet once, as matrices.
+    dealt into blocks; each two blocks meet once, as matrices. Few pairs are sorted; more are counted by level
+    and made again, so that none is kept. Only where six digits can't be told that way are they sorted all the same.
     """
     rows = materialised(aligned(a, b).select(F.xxhash64("channel", "video_id").alias("k"), "a", "b"))
-    blocks = max(1, -(-rows.count() // block))
-    mine = F.pmod("k", F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    met = rows.select(mine.alias("mine"), other, "a", "b").select(
-        F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "a", "b"
-    )
+    n = rows.count()
+    if n * (n - 1) // 2 > SORTED and (found := pair_ranks.correlation(rows, n)):
+        return rows.sparkSession.createDataFrame([(n * (n - 1) // 2, *found)], "n_pairs long, rho double, p_value double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def pairs(left: list[np.ndarray], right: list[np.ndarray] | None) -> pa.RecordBatch:
-            upper = np.triu_indices(len(left[0]), 1)
-            sims = [(x @ x.T)[upper] for x in left] if right is None else [(x @ y.T).ravel() for x, y in zip(left, right)]
-            return pa.RecordBatch.from_arrays([pa.array(np.round(s, 9)) for s in sims], names=["sim_a", "sim_b"])
-
-        for batch in batches:
-            at = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            edges = np.flatnonzero((np.diff(at, axis=0) != 0).any(axis=1)) + 1
-            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(at)]):
-                if start == end:
-                    continue
-                piece = batch.slice(start, end - start)
-                new = [piece.column(i).flatten().to_numpy(zero_copy_only=False).reshape(len(piece), -1) for i in (3, 4)]
-                low, high, side = at[start].tolist()
-                if side == 0:
-                    if (low, high) != key:
-                        key, held = (low, high), None
-                    if low == high:
-                        # A block with itself: what has come before, and the new rows among themselves.
-                        if held is not None:
-                            yield pairs(held, new)
-                        yield pairs(new, None)
-                    held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-                elif (low, high) == key:
-                    yield pairs(held, new)
+        for sims in pair_ranks.similarities(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(s, 9)) for s in sims], names=["sim_a", "sim_b"])
 
+    met = pair_ranks.met(rows, max(1, -(-n // block)))
     dealt = met.repartition("low", "high").sortWithinPartitions("low", "high", "side")
     sims = dealt.mapInArrow(run, "sim_a double, sim_b double")
     return spearman(sims, [], "sim_a", "sim_b").select(F.col("n").alias("n_pairs"), "rho", "p_value")
