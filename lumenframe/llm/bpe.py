@@ -7,8 +7,11 @@ the two tokens' bytes gives just those two back). So each trie node holds one to
 the nodes above it, depth first; prefixes shared by many words are solved once, and a word is
 read off by walking back from its node.
 
-Each batch of texts walks one trie, of the words it has not met before; ids of words are kept
-from batch to batch and start anew when they reach a bound, which changes no result. No shuffle is needed, and a lost task is just run again.
+Each group of texts walks one trie, of the words it has not met before; ids of words are kept
+from group to group and start anew when they reach a bound, which changes no result. No shuffle is needed, and a lost task is just run again.
+
+Texts are taken by number and by bytes, and the words of a text a bounded number at a time, so what a
+task holds beyond one text, its ids and their text does not grow with the length of texts or words.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; repeated rows
 are encoded row by row; a very long text is encoded whole, as is a word of any length; an empty table gives no rows; other columns are not read. The added
@@ -28,14 +31,17 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import pre_tokenizers
 
 from lumenframe.llm.words import id_and_text
 
-#: Words kept with their ids, at which a task starts anew.
-MOST_WORDS = 300_000
+#: Words kept with their ids, and their characters, at which a task starts anew.
+MOST_WORDS, MOST_CHARS = 300_000, 1 << 23
+#: Words that are looked up at once, and ids that are decoded at once.
+AT_ONCE = 1 << 19
 #: Verdicts on token pairs that are kept.
 MOST_PAIRS = 1 << 20
 #: Bytes at a token's end that tell how long it may be.
@@ -75,13 +81,17 @@ def word_pattern(top: int = sys.maxunicode) -> re.Pattern:
     )
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text; most texts are Latin-1, for which small classes do."""
+def words_of(text: str) -> Iterator[list[str]]:
+    """The words of a text, ``AT_ONCE`` at a time; most texts are Latin-1, for which small classes do."""
     try:
         text.encode("latin-1")
+        pattern = word_pattern(0xFF)
     except UnicodeEncodeError:
-        return word_pattern().findall(text)
-    return word_pattern(0xFF).findall(text)
+        pattern = word_pattern()
+    if len(text) <= AT_ONCE:
+        yield pattern.findall(text)
+    else:
+        yield from map(list, itertools.batched((m[0] for m in pattern.finditer(text)), AT_ONCE))
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -213,16 +223,16 @@ class Encoder:
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def split(self, text: str) -> list[str]:
-        """Words and added tokens, in order."""
+    def split(self, text: str) -> Iterator[list[str]]:
+        """Words and added tokens, in order, in lists of bounded length."""
         if not self.cut or not self.cut.search(text):
-            return words_of(text)
-        out: list[str] = []
+            yield from words_of(text)
+            return
         for i, piece in enumerate(self.cut.split(text)):
-            out += [piece] if i % 2 else words_of(piece)
-        return out
+            yield from [[piece]] if i % 2 else words_of(piece)
 
     def _learn(self, new: set[str]) -> None:
         """Adds the encodings of distinct words to those kept."""
@@ -231,15 +241,15 @@ class Encoder:
         encoded = sorted(w.encode() for w in new if w not in added)
         found = [*encode_words(encoded, self.vocabulary), *([added[w]] for w in special)]
         self.words.update(zip([*(w.decode() for w in encoded), *special], itertools.count(len(self.words))))
+        self.chars += sum(map(len, new))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.int32)])
 
-    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after the other, and how many each text has."""
-        split = [self.split(t) if t else [] for t in texts]
-        if len(self.words) > MOST_WORDS:
+    def _ids(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of lists of words, and how many each list has."""
+        if len(self.words) > MOST_WORDS or self.chars > MOST_CHARS:
             self._forget()
         if new := set(itertools.chain.from_iterable(split)).difference(self.words):
             self._learn(new)
@@ -250,11 +260,34 @@ class Encoder:
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(count)]
         return _taken(self.flat, self.starts[which], sizes), np.diff(ends, prepend=0)
 
+    def _groups(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[list[str]]]]:
+        """The texts' lists of words with the texts' numbers, about ``AT_ONCE`` words at a time."""
+        numbers, lists, held = [], [], 0
+        for number, text in enumerate(texts):
+            for words in self.split(text) if text else ():
+                numbers.append(number)
+                lists.append(words)
+                held += len(words)
+                if held >= AT_ONCE:
+                    yield numbers, lists
+                    numbers, lists, held = [], [], 0
+        if lists:
+            yield numbers, lists
+
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after the other, and how many each text has."""
+        found, counts = [np.empty(0, np.int32)], np.zeros(len(texts), np.int64)
+        for numbers, lists in self._groups(texts):
+            ids, sizes = self._ids(lists)
+            found.append(ids)
+            np.add.at(counts, numbers, sizes)
+        return np.concatenate(found), counts
+
     def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Each text's token bytes as text; bytes that are not UTF-8 become replacement characters."""
-        sizes = self.token_size[ids]
-        data = _taken(self.token_bytes, self.token_start[ids], sizes).tobytes()
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)].tolist()
+        some = (ids[at : at + AT_ONCE] for at in range(0, len(ids), AT_ONCE))
+        data = b"".join(_taken(self.token_bytes, self.token_start[i], self.token_size[i]).tobytes() for i in some)
+        ends = np.concatenate(([0], np.cumsum(self.token_size[ids])))[np.cumsum(counts)].tolist()
         return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
 
 
@@ -263,23 +296,35 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-#: Texts encoded at once; their words and ids are held together.
-TEXTS = 512
+#: Texts encoded at once, and their bytes where that is more than one text.
+TEXTS, TEXT_BYTES = 512, 1 << 22
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of ``TEXTS`` rows and ``TEXT_BYTES`` bytes of text at most; a longer text is a slice of its own."""
+    ends = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(ends, ends[at] + TEXT_BYTES, "right")) - 1
+        end = min(max(fits, at + 1), at + TEXTS, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def coded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_tokens, ids, decoded) of batches of ids and texts."""
+    for part in itertools.chain.from_iterable(map(parts, batches)):
+        ids, counts = encoder.encode_batch(part.column(1).to_pylist())
+        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), ids)
+        texts = pa.array(encoder.decode_batch(ids, counts), pa.string())
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), lists, texts], names=["doc_id", "n_tokens", "ids", "decoded"])
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): the ids of each whole text and the text they give back."""
     rows = id_and_text(docs, id_col, text_col)
-    names = ["doc_id", "n_tokens", "ids", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                ids, counts = encoder.encode_batch(part.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), ids)
-                texts = pa.array(encoder.decode_batch(ids, counts), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), lists, texts], names=names)
+        yield from coded(_encoder(path), batches)
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, decoded string")
