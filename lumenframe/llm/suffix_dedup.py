@@ -23,7 +23,8 @@ words left and right of it, are its cell.
 
 Comparisons that may meet a very common passage are counts by hash (128 bits) that combine before the
 shuffle, and joins against one row per hash, which Spark may split. The sort is by range, with ties cut apart.
-No group is held in one task, and pairs are never listed.
+No group is held in one task, and pairs are never listed. The Python steps take rows by what they weigh
+(bytes of text, cells, masks), so what a task holds beyond one Arrow batch and one text does not grow with either.
 
 The first occurrence, in the order of doc_id and then position, stays; words that later ones
 cover are marked for removal.
@@ -41,7 +42,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,25 +55,50 @@ from lumenframe.llm.words import counted_apart, id_and_text, space_words
 
 MIN_WORDS = 50
 GRAM = 16
-#: Documents whose cells are merged at a time.
-DOCUMENTS = 512
+#: Bytes of text, and of what is told of their cells, that are taken at once where that is more than one text.
+TEXT_BYTES, CELL_BYTES = 1 << 22, 512
+#: Documents whose cells are merged at a time, and their masks where that is more than one document.
+DOCUMENTS, MASKS = 512, 1 << 17
+#: Words up to which powers are kept from text to text.
+MOST_POWERS = 1 << 16
 #: Odd multipliers of the two rolling hashes.
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-@lru_cache(8)
-def _powers(size: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+def _slices(weights: np.ndarray, most: int, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of ``rows`` rows and a weight of ``most`` at most; a heavier row is a run of its own."""
+    ends = np.concatenate(([0], np.cumsum(weights, dtype=np.int64)))
+    at = 0
+    while at < len(weights):
+        fits = int(np.searchsorted(ends, ends[at] + most, "right")) - 1
+        end = min(max(fits, at + 1), at + (rows or len(weights)), len(weights))
+        yield at, end
+        at = end
+
+
+def _text_bytes(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _new_powers(size: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a multiplier and of its inverse modulo 2**64."""
     inverse = pow(_FACTORS[which], -1, 1 << 64)
     return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, f, np.uint64))]) for f in (_FACTORS[which], inverse))
 
 
+_kept_powers = lru_cache(16)(_new_powers)
+
+
+def _powers(words: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for a text of so many words; only those of usual lengths are kept."""
+    return _kept_powers(1 << max(10, words.bit_length()), which) if words < MOST_POWERS else _new_powers(words, which)
+
+
 class Rolling:
     """Hashes of any run of a document's words from prefix sums, modulo 2**64."""
 
     def __init__(self, hashes: np.ndarray, which: int):
-        size = 1 << max(10, len(hashes).bit_length())
-        up, self.down = _powers(size, which)
+        up, self.down = _powers(len(hashes), which)
         if which:
             hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
@@ -145,7 +173,7 @@ def _kept_suffixes(rows: DataFrame, min_words: int, gram: int) -> DataFrame:
     """doc_id and CELL of each kept suffix of (doc_id, t1, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, end - at) for b in batches for at, end in _slices(_text_bytes(b.column(2)), TEXT_BYTES)):
             found, counts, sizes = [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = word_hashes(text)
@@ -153,8 +181,6 @@ def _kept_suffixes(rows: DataFrame, min_words: int, gram: int) -> DataFrame:
                 found.append((g.view(np.int64), c.view(np.int64), at, first, last - first + 1, seen_before(hashes, g, first, last, min_words)))
                 counts.append(len(hashes))
                 sizes.append(len(g))
-            if not found:
-                continue
             of = np.repeat(np.arange(len(sizes)), sizes)
             g, c, at, first, size, again = (np.concatenate(x) for x in zip(*found))
             narrow = [pa.array(x.astype(np.int32)) for x in (np.array(counts)[of], at, first, size)]
@@ -170,29 +196,30 @@ def _contexts(rows: DataFrame, min_words: int) -> DataFrame:
     inner = rows.schema["cells"].dataType.elementType
     schema = T.StructType([*(inner[k] for k in ("g", "c", "n", "lowest")), T.StructField("at_left", T.IntegerType()), T.StructField("right", T.BinaryType()), T.StructField("w", T.ArrayType(T.LongType()))])
 
+    span = np.arange(min_words)
+
+    def told(texts: list[str | None], flat: pa.StructArray, ends: np.ndarray) -> pa.RecordBatch:
+        at, first, size = (flat.field(flat.type.get_field_index(k)).to_numpy().astype(np.int64) for k in ("at", "first", "size"))
+        right, windows = np.empty((len(flat), min_words), ">u4"), []
+        for i, text in enumerate(texts):
+            a, f, n = (x[ends[i] : ends[i + 1]] for x in (at, first, size))
+            hashes = word_hashes(text)
+            # Word codes of 32 bits, 0 where the cell ends: a code that two words share could only make neighbours look more alike.
+            codes = np.concatenate([(hashes >> np.uint64(32)).astype(">u4") | np.array(1, ">u4"), np.zeros(min_words, ">u4")])
+            own = right[ends[i] : ends[i + 1]]
+            own[:] = sliding_window_view(codes, min_words)[a]
+            own[span >= (f + n - 1 + min_words - a)[:, None]] = 0
+            where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(f, n)
+            windows.append(Rolling(hashes, 0).run(where, where + min_words).view(np.int64))
+        rights = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(np.arange(len(flat) + 1, dtype=np.int32) * 4 * min_words), pa.py_buffer(right)])
+        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), np.concatenate(windows))
+        return pa.RecordBatch.from_arrays([*(flat.field(flat.type.get_field_index(k)) for k in ("g", "c", "n", "lowest")), pa.array((at - first).astype(np.int32)), rights, lists], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rights, windows, sizes = [], [], []
-            cells_ = batch.column(1)
-            flat, ends = cells_.flatten(), cells_.offsets.to_numpy() - cells_.offsets[0].as_py()
-            at, first, size = (flat.field(flat.type.get_field_index(k)).to_numpy().astype(np.int64) for k in ("at", "first", "size"))
-            for i, text in enumerate(batch.column(0).to_pylist()):
-                a, f, n = (x[ends[i] : ends[i + 1]] for x in (at, first, size))
-                hashes = word_hashes(text)
-                # Word codes of 32 bits, 0 where the cell ends: a code that two words share could only make neighbours look more alike.
-                codes = np.concatenate([(hashes >> np.uint64(32)).astype(">u4") | np.array(1, ">u4"), np.zeros(min_words, ">u4")])
-                span = np.arange(min_words)
-                inside = a[:, None] + span < (f + n - 1 + min_words)[:, None]
-                rights.append(np.where(inside, codes[a[:, None] + span], 0).astype(">u4"))
-                where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(f, n)
-                windows.append(Rolling(hashes, 0).run(where, where + min_words).view(np.int64))
-                sizes.append(n)
-            if not rights:
-                continue
-            data = np.concatenate(rights)
-            right = pa.array([x.tobytes() for x in data], pa.binary())
-            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32), np.concatenate(windows))
-            yield pa.RecordBatch.from_arrays([*(flat.field(flat.type.get_field_index(k)) for k in ("g", "c", "n", "lowest")), pa.array((at - first).astype(np.int32)), right, lists], names=schema.names)
+            flat, ends = batch.column(1).flatten(), batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()
+            for start, end in _slices(_text_bytes(batch.column(0)) + CELL_BYTES * np.diff(ends), TEXT_BYTES):
+                yield told(batch.column(0).slice(start, end - start).to_pylist(), flat.slice(ends[start], ends[end] - ends[start]), ends[start : end + 1] - ends[start])
 
     return rows.select("text", "cells").mapInArrow(run, schema)
 
@@ -283,7 +310,9 @@ def _merged(rows: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(at, DOCUMENTS) for at in range(0, whole.num_rows, DOCUMENTS)):
+            cells_of, found = flat(whole.column(2))
+            counts = np.diff(np.array(flat(found.field("masks"))[0], np.int64)[cells_of])
+            for batch in (whole.slice(at, end - at) for at, end in _slices(counts, MASKS, DOCUMENTS)):
                 cells_of, found = flat(batch.column(2))
                 masks_of, masks = flat(found.field("masks"))
                 firsts, agains = (found.field(k).to_pylist() for k in ("first", "again"))
