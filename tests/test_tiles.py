@@ -29,3 +29,12 @@ def test_texts_are_made_in_many_tasks(spark):
     found = catalogue.QUERIES["tile_positions"](spark, SMALL)
     parts = found.select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_texts_of_a_task_are_by_length(spark):
+    """Each begins as the one before does, but for its last offset; a writer then keeps little of it."""
+    found = catalogue.QUERIES["tile_positions"](spark, SMALL)
+    rows = found.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"), "length", "starts").orderBy("at").collect()
+    assert len(rows) == spark.read.parquet(f"{SMALL}/part.parquet").count()
+    for a, b in zip(rows, rows[1:]):
+        assert a.p != b.p or a.length <= b.length and b.starts.startswith(a.starts.rpartition(",")[0])
